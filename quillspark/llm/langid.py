@@ -41,9 +41,9 @@ FAMILIES = {
     **dict.fromkeys(("pl", "cs", "sk", "ru", "uk", "bg", "hr", "sr", "sl"), "slavic"),
     **dict.fromkeys(("fi", "et", "hu"), "uralic"),
 }
-BITS = 13
+BITS = 12
 KNOWN_BITS = 20
-MAX_TRAIN = 6000
+MAX_TRAIN = 3000
 MIN_KNOWN = 0.4
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
