@@ -162,7 +162,7 @@ def sql(threshold: float = THRESHOLD) -> str:
     quote = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(f"({quote(n)}, {quote(t)})" for n, t in sorted(TEMPLATES.items()))
     words = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}_]+')"
-    bigrams = "list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1]))"
+    bigrams = "list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))"
     return f"""
 with t as (select n as licence, {words.format('x')} as w from (values {values}) v(n, x)),
 tb as (select licence, {bigrams} as b from t),

@@ -32,7 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import kernel as K
@@ -132,8 +132,8 @@ def search(tree: Tree, qid: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray
             some = np.flatnonzero(may.any(0))
             if not len(some):
                 continue
-            d = np.where(may[:, some], distances(q[who], tree.vectors[lo:hi][some]), np.inf)
-            r, c = np.nonzero(d <= kth[who][:, None] + SLACK)
+            d = distances(q[who], tree.vectors[lo:hi][some])
+            r, c = np.nonzero(may[:, some] & (d <= kth[who][:, None] + SLACK))
             if not len(r):
                 continue
             true = exact(q[who[r]], tree.vectors[lo + some[c]])
@@ -245,8 +245,6 @@ def top_k(table: DataFrame, k: int = K_NEAREST) -> DataFrame:
         return pd.concat(out)
 
     second = dealt.select("vec_id", "v", "home").groupBy("home").cogroup(visits.groupBy("home")).applyInPandas(visit, found)
-    from pyspark.sql import Window
-
     w = Window.partitionBy("vec_id").orderBy("distance", "neighbour")
     return first.unionByName(second).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k).select("vec_id", "rank", "neighbour", "distance")
 
@@ -255,8 +253,8 @@ def sql(k: int = K_NEAREST) -> str:
     """The search as DuckDB SQL over embeddings, every pair compared."""
     return f"""
 with v as (select vec_id, min(embedding::double[]) as v from embeddings where vec_id is not null and embedding is not null and len(embedding) > 0
-  and len(list_filter(embedding, x -> x is null or isnan(x) or isinf(x))) = 0 group by vec_id),
-d as (select a.vec_id, b.vec_id as neighbour, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), z -> (z[1] - z[2]) * (z[1] - z[2])))), 9) as distance
+  and len(list_filter(embedding, lambda x: x is null or isnan(x) or isinf(x))) = 0 group by vec_id),
+d as (select a.vec_id, b.vec_id as neighbour, round(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))), 9) as distance
   from v a join v b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)),
 r as (select *, row_number() over (partition by vec_id order by distance, neighbour)::int as rank from d)
 select vec_id, rank, neighbour, distance from r where rank <= {k}"""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillspark.llm import decontam, langid, neardup, spiece, toxicity
+from quillspark.llm import cotrain, decontam, langid, licenses, maskedlm, mtree, neardup, spiece, tokenstore, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(_table(spark, sf_dir, "documents"))
+
+
+def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokenstore.pack(_table(spark, sf_dir, "documents"))
+
+
+def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
+def op5_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mtree.top_k(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encode(_table(spark, sf_dir, "documents"))
 
@@ -27,9 +43,27 @@ def op8_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op9_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maskedlm.score(_table(spark, sf_dir, "documents"))
+
+
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontamination, op6_sentencepiece, op7_toxicity, op8_minhash_near_dedup, op10_language_id)}
-ORACLE = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_decontamination,
+        op2_license_scan,
+        op3_token_store,
+        op4_quality_cotraining,
+        op5_exact_top_k,
+        op6_sentencepiece,
+        op7_toxicity,
+        op8_minhash_near_dedup,
+        op9_masked_lm,
+        op10_language_id,
+    )
+}
+ORACLE = {"op2_license_scan": licenses.sql(), "op5_exact_top_k": mtree.sql()}
