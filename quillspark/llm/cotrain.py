@@ -86,7 +86,8 @@ def text_features(texts: list[str]) -> np.ndarray:
     chars = np.maximum(c.length, 1)
     if len(cls):
         same = doc[1:] == doc[:-1]
-        same[np.clip((c.first + c.length)[:-1] - 1, 0, len(same) - 1)] &= False  # not with the line feed that parts two texts
+        last = (c.first + c.length)[:-1] - 1
+        same[last[last >= 0]] = False  # not with the line feed that parts two texts
         key = (doc[:-1] * N_CLASSES + cls[:-1]) * N_CLASSES + cls[1:]
         out[:, : N_CLASSES * N_CLASSES] = np.bincount(key[same], minlength=n * N_CLASSES * N_CLASSES).reshape(n, -1) / chars[:, None]
     words = np.diff(w.first)
@@ -130,7 +131,7 @@ def page_features(pages: DataFrame) -> DataFrame:
         F.length(F.regexp_extract(html, r"(?is)<title[^>]*>([^<]*)", 1)) / 100.0, url.startswith("https").cast("double"), url.contains("?").cast("double"),
         F.size(F.split(host, r"\.")).cast("double"), count("<") / F.greatest(size, F.lit(1)),
     ]
-    rows = pages.select(F.regexp_extract(url, PAGE_DOC, 1).cast("long").alias("key"), host.alias("host"), *[m.cast("double").alias(f"m{i}") for i, m in enumerate(measures)])
+    rows = pages.select(F.regexp_extract(url, PAGE_DOC, 1).try_cast("long").alias("key"), host.alias("host"), *[m.cast("double").alias(f"m{i}") for i, m in enumerate(measures)])
     means = [F.avg(f"m{i}") for i in range(len(measures))]
     return rows.filter("key is not null").groupBy("key").agg(F.min("host").alias("host"), F.array(*means).alias("m"))
 

@@ -4,7 +4,8 @@ Every document is searched, whole, for the word n-grams of the test items.  A
 first pass counts in how many documents each of those n-grams occurs.  In the
 second pass a hit weighs log(documents / occurrences): a rare n-gram opens an
 alignment by itself, common ones only where several different ones of an item
-lie on nearly the same diagonal; none is dropped.  The words around the
+lie on nearly the same diagonal (SEED_WEIGHT together, or SEED_SHARE of what
+all of the item's would weigh); none is dropped.  The words around the
 diagonal are aligned with the item by Smith-Waterman over words; the score is
 divided by that of a full copy.  Substitutions, gaps and reorderings of words
 lower the score instead of hiding the copy.
@@ -38,6 +39,7 @@ from quillspark.llm import kernel as K
 NGRAM = 3
 MIN_SCORE = 0.5
 SEED_WEIGHT = 4.0  # natural log: an n-gram in fewer than one of 55 documents suffices
+SEED_SHARE = 0.3  # of the summed weight of all n-grams of an item
 MIN_WEIGHT = 0.2
 MAX_WORDS = 200_000
 MATCH, MISMATCH, GAP = 2, -1, -1
@@ -162,7 +164,10 @@ def search(texts: list[str], items: Items, weight: dict[int, np.ndarray], min_sc
         distinct[1:] |= gr[1:] != gr[:-1]
         group = np.cumsum(new) - 1
         total = np.bincount(group, np.where(distinct, weight[n][gr], 0))
-        first = np.flatnonzero(new)[total >= SEED_WEIGHT]
+        # in a small corpus nothing is rare: a part of what the whole item would weigh suffices
+        whole = np.bincount(items.item[n], np.repeat(weight[n], np.diff(items.first[n])), len(items.sizes))
+        begins = np.flatnonzero(new)
+        first = begins[total >= np.minimum(SEED_WEIGHT, SEED_SHARE * whole[it[begins]])]
         d, it, ba = d[first], it[first], ba[first]
         size = items.sizes[it]
         slack = size // 4 + 2

@@ -20,7 +20,7 @@ texts are cut into words twice, however many rounds there are.
 Defined results
     null or empty text, text without a word: tokens 0, log_likelihood 0, mean_log_prob null.
     very long texts: scored whole.  Beyond a text's ends the window holds a boundary class.
-    repeated rows: each is scored (and counted in training).  Null doc_id: kept as null.
+    repeated rows: each is scored (and counted in training), alike but for single-precision rounding.  Null doc_id: kept as null.
     empty table: no row.  Extra columns: ignored.  Ties in frequency: the smaller word hash comes first.
 """
 
@@ -134,7 +134,7 @@ def tokens(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 cls, logp = shared.value.classify(w)
                 raw = cls.astype(np.uint8).tobytes()
                 ids = [raw[a:b] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
-                within = np.bincount(w.doc, logp, len(part))
+                within = np.bincount(w.doc, logp, len(part)).astype(float)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(lo, hi - lo), batch.column("deal").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(within)],
                     ["doc_id", "deal", "ids", "within"],
@@ -275,7 +275,7 @@ def score(docs: DataFrame, min_share: float = MIN_SHARE, rounds: int = ROUNDS, m
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column("ids").to_pylist()
-            total = np.round(score_ids(shared.value, ids) + b.column("within").to_numpy(), 6)
+            total = np.round(score_ids(shared.value, ids) + b.column("within").to_numpy(), 4)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array(total)], ["doc_id", "tokens", "log_likelihood"])
 
     out = rows.select("doc_id", "ids", "within").mapInArrow(run, "doc_id long, tokens long, log_likelihood double")
