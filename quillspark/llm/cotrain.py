@@ -41,7 +41,8 @@ PAGE_DOC = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/]+/(?:[^?#]*/)?(\d+)(?:[./?#].*)?$"
 ROUNDS = 3
 CONFIDENT = 0.95
 STEPS = 4
-RIDGE = 1e-3
+RIDGE = 5e-3
+PULL = 0.02
 KEEP = 0.5
 N_CLASSES = 8
 N_TEXT = N_CLASSES * N_CLASSES + 12
@@ -188,7 +189,7 @@ class Views:
     scale: np.ndarray
     text: np.ndarray
     meta: np.ndarray
-    #: bias, factor of the text view's log-odds, factor of the metadata view's; then bias and factor of each view by itself
+    #: factors of the text view's and the metadata view's log-odds, bias; then factor and bias of each view by itself
     mix: np.ndarray
     text_cal: np.ndarray
     meta_cal: np.ndarray
@@ -235,13 +236,14 @@ def _normal(x: np.ndarray, y: np.ndarray, weight: np.ndarray, beta: np.ndarray)
     return np.concatenate([g, h[np.triu_indices(len(beta))]])
 
 
-def _step(beta: np.ndarray, flat: np.ndarray, ridge: float) -> np.ndarray:
+def _step(beta: np.ndarray, flat: np.ndarray, ridge: float, prior: np.ndarray | float = 0.0) -> np.ndarray:
+    """A Newton step; the ridge draws all but the last weight to the prior."""
     d = len(beta)
     h = np.zeros((d, d))
     h[np.triu_indices(d)] = flat[d:]
     h = h + np.triu(h, 1).T
     penalty = ridge * np.append(np.ones(d - 1), 1e-6)
-    step = np.linalg.solve(h + np.diag(penalty + 1e-9), flat[:d] + penalty * beta)
+    step = np.linalg.solve(h + np.diag(penalty + 1e-9), flat[:d] + penalty * (beta - prior))
     return beta - step * min(1.0, 5.0 / (np.abs(step).max() + 1e-12))
 
 
@@ -279,7 +281,7 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, steps: int = STEPS, limit: float
         return None
     mean = s[5 : 5 + width] / n
     scale = 1 / np.sqrt(np.maximum(s[5 + width :] / n - mean**2, 1e-8))
-    v = Views(mean.astype(np.float32), scale.astype(np.float32), np.zeros(N_TEXT + 1), np.zeros(N_META + 1), np.array([0.0, 1, 1]), np.array([0.0, 1]), np.array([0.0, 1]))
+    v = Views(mean.astype(np.float32), scale.astype(np.float32), np.zeros(N_TEXT + 1), np.zeros(N_META + 1), np.array([1.0, 1, 0]), np.array([1.0, 0]), np.array([1.0, 0]))
     st = _sizes(N_TEXT + 1)
     # classes weigh the same, the labels' weights add up to 1
     label_weight = np.array([0.5 / bad, 0.5 / good])
@@ -313,27 +315,29 @@ def fit(rows: DataFrame, rounds: int = ROUNDS, steps: int = STEPS, limit: float
     if held_good and held_bad:
         fixed = sc.broadcast(v)
         held_weight = np.array([0.5 / held_bad, 0.5 / held_good])
-        betas = [np.array([0.0, 0.5]), np.array([0.0, 0.5])]
+        # bias last; few held-out documents leave the views' log-odds, and their plain sum, nearly as they are
+        betas = [np.array([1.0, 0.0]), np.array([1.0, 0.0])]
 
         def calibrate(y, fold, raw, betas):
             held = np.flatnonzero((y >= 0) & (fold == 0))
             za, zb = (z[held] for z in fixed.value.logits(raw))
             one = np.ones(len(held))
-            return np.concatenate([_normal(np.stack([one, z], 1), y[held], held_weight[y[held]], beta) for z, beta in zip((za, zb), betas)])
+            return np.concatenate([_normal(np.stack([z, one], 1), y[held], held_weight[y[held]], beta) for z, beta in zip((za, zb), betas)])
 
         for _ in range(steps + 2):
             got = _pass(rows, lambda y, f, x, betas=betas: calibrate(y, f, x, betas), 2 * _sizes(2))
-            betas = [_step(b, g, 1e-3) for b, g in zip(betas, np.split(got, 2))]
-        mix = np.array([0.0, 0.5, 0.5])
+            betas = [_step(b, g, PULL, np.array([1.0, 0.0])) for b, g in zip(betas, np.split(got, 2))]
+        mix = np.array([1.0, 1.0, 0.0])
 
         def combine(y, fold, raw, mix):
             held = np.flatnonzero((y >= 0) & (fold == 0))
             za, zb = (z[held] for z in fixed.value.logits(raw))
-            x = np.stack([np.ones(len(held)), betas[0][0] + betas[0][1] * za, betas[1][0] + betas[1][1] * zb], 1)
+            x = np.stack([betas[0][0] * za + betas[0][1], betas[1][0] * zb + betas[1][1], np.ones(len(held))], 1)
             return _normal(x, y[held], held_weight[y[held]], mix)
 
         for _ in range(steps):
-            mix = _step(mix, _pass(rows, lambda y, f, x, mix=mix: combine(y, f, x, mix), _sizes(3)), 1e-3)
+            mix = _step(mix, _pass(rows, lambda y, f, x, mix=mix: combine(y, f, x, mix), _sizes(3)), PULL, np.array([1.0, 1.0, 0.0]))
+            mix[:2] = np.maximum(mix[:2], 0)
         v = Views(v.mean, v.scale, v.text, v.meta, mix, betas[0], betas[1])
     return v
 
@@ -344,8 +348,8 @@ def judge(v: Views | None, raw: list[bytes]) -> tuple[np.ndarray, np.ndarray, np
         half = np.full(len(raw), 0.5)
         return half, half, half
     za, zb = v.logits(raw)
-    za, zb = v.text_cal[0] + v.text_cal[1] * za, v.meta_cal[0] + v.meta_cal[1] * zb
-    return sigmoid(za), sigmoid(zb), sigmoid(v.mix[0] + v.mix[1] * za + v.mix[2] * zb)
+    za, zb = v.text_cal[0] * za + v.text_cal[1], v.meta_cal[0] * zb + v.meta_cal[1]
+    return sigmoid(za), sigmoid(zb), sigmoid(v.mix[0] * za + v.mix[1] * zb + v.mix[2])
 
 
 def score(docs: DataFrame, pages: DataFrame, labels: DataFrame, rounds: int = ROUNDS, keep: float = KEEP) -> DataFrame:

@@ -21,7 +21,7 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 17
 
 _tables: dict[str, np.ndarray] = {}
 

@@ -37,7 +37,7 @@ from quillspark.llm import kernel as K
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 CACHE_UNITS = 400_000
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 
 
 # --- compiled character map -------------------------------------------------
@@ -83,13 +83,14 @@ def compile_charsmap(rules: dict[str, str]) -> bytes:
         value[k.encode()] = len(pool)
         pool += v.encode() + b"\0"
     units: dict[int, int] = {}
-    taken = {0}
+    taken, bases = {0}, set()
 
     def place(prefix: bytes, node: int) -> None:
         """Sets the children of the node that ends at unit `node`."""
         kids = sorted({k[len(prefix)] for k in value if len(k) > len(prefix) and k.startswith(prefix)})
         labels = ([0] if prefix in value else []) + kids
-        base = next(b for b in range(1, 1 << 21) if all((b ^ c) not in taken for c in labels) and (b ^ node) < 1 << 21)
+        base = next(b for b in range(1, 1 << 21) if b not in bases and all((b ^ c) not in taken for c in labels) and (b ^ node) < 1 << 21)
+        bases.add(base)
         taken.update(base ^ c for c in labels)
         offset = base ^ node
         units[node] = units.get(node, 0) | (offset << 10) | (256 if prefix in value else 0)
