@@ -119,16 +119,19 @@ def samples(docs: DataFrame, book: list[str], name: str = "name", text: str = "t
     to the last of those tried, under the first one's name.  Front matter is left out unless there is nothing else."""
     by = Window.partitionBy(*book)
     front = F.lower(F.col(name)).rlike(FRONT_MATTER)
-    d = docs.withColumn("__front", front.cast("int")).withColumn("__only", F.min("__front").over(by)).filter(F.col("__front") == F.col("__only"))
-    order = by.orderBy(name)
+    # only what can be shown of a text, and its length, goes through the shuffle
+    d = docs.select(*book, F.col(name).alias("__name"), F.substring(text, 1, limit).alias("__t"), F.length(text).alias("__len"), front.cast("int").alias("__front"))
+    d = d.withColumn("__only", F.min("__front").over(by)).filter(F.col("__front") == F.col("__only"))
+    order = by.orderBy("__name")
     d = d.withColumn("__i", F.row_number().over(order) - 1).withColumn("__n", F.count("*").over(by))
-    t, n, i = F.col(text), F.col("__n"), F.col("__i")
-    nxt = [(F.lead(text, k).over(order), F.lead(name, k).over(order)) for k in (1, 2, 3)]
-    d = d.select("*", *[c.alias(f"__{x}{k}") for k, pair in enumerate(nxt) for x, c in zip("tn", pair)])
-    long = lambda k: F.length(f"__t{k}") >= short
-    replace = (F.length(t) < short) & (n > 5)
-    fallback = F.coalesce("__t2", "__t1", "__t0", t)
-    pick = F.when(~replace, t).when(long(0), F.col("__t0")).when(long(1), F.col("__t1")).when(long(2), F.col("__t2")).otherwise(fallback)
-    named = F.when(~replace, F.col(name)).when(long(0), F.col("__n0")).when(long(1), F.col("__n1")).when(long(2), F.col("__n2")).otherwise(F.col(name))
+    this = F.struct(F.col("__t").alias("t"), F.col("__name").alias("n"), F.col("__len").alias("len"))
+    d = d.select("*", *[F.lead(this, k).over(order).alias(f"__{k}") for k in (1, 2, 3)])
+    n, i = F.col("__n"), F.col("__i")
+    replace = (F.col("__len") < short) & (n > 5)
+    pick = F.when(~replace, this)
+    for k in (1, 2, 3):
+        pick = pick.when(F.col(f"__{k}.len") >= short, F.col(f"__{k}"))
+    last = F.coalesce("__3", "__2", "__1", this)
+    pick = pick.otherwise(F.struct(last["t"].alias("t"), F.col("__name").alias("n"), last["len"].alias("len")))
     chosen_ = (i == F.least(F.lit(1), n - 1)) | (i == F.floor(n / 2)) | (i == F.when(n > 2, n - 2).otherwise(n - 1))
-    return d.filter(chosen_).select(*book, i.cast("int").alias("place"), named.alias("name"), F.substring(pick, 1, limit).alias("extract"))
+    return d.filter(chosen_).select(*book, i.cast("int").alias("place"), pick["n"].alias("name"), pick["t"].alias("extract"))
