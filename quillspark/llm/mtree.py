@@ -38,10 +38,10 @@ from pyspark.sql import functions as F
 from quillspark.llm import kernel as K
 
 K_NEAREST = 10
-PAGE = 64
-SUBTREE = 8192
-SLACK = 1e-6
-BLOCK = 2048
+PAGE = 256
+SUBTREE = 4096
+SLACK = 1e-6  # of the largest norm, 1 at least: far more than the fast distances err
+BLOCK = 8192
 
 
 def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -50,6 +50,10 @@ def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(s, 0))
 
 
+def slack(*blocks: np.ndarray) -> float:
+    return SLACK * (1 + max((float((b * b).sum(1).max()) for b in blocks if len(b)), default=0.0) ** 0.5)
+
+
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Distance of each row of a to the same row of b, summed dimension by dimension."""
     s = np.zeros(len(a))
@@ -111,13 +115,14 @@ def search(tree: Tree, qid: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray
     kth = np.full(n, np.inf) if bound is None else bound.astype(float).copy()
     if not len(tree.ids) or not n:
         return best_i, best_d
+    wide = slack(q, tree.vectors)
     to_page = distances(q, tree.routing)
     low = np.maximum(to_page - tree.radius, 0)
     order = np.argsort(low, 1, kind="stable")
     live = np.arange(n)
     for step in range(order.shape[1]):
         page = order[live, step]
-        go = low[live, page] <= kth[live] + SLACK
+        go = low[live, page] <= kth[live] + wide
         live, page = live[go], page[go]
         if not len(live):
             break
@@ -128,12 +133,15 @@ def search(tree: Tree, qid: np.ndarray, q: np.ndarray, k: int, bound: np.ndarray
             lo, hi = tree.first[p], tree.first[p + 1]
             # the stored distance to the routing vector spares entries that can't come near enough
             gap = np.abs(to_page[who, p][:, None] - tree.parent[None, lo:hi])
-            may = (gap <= kth[who][:, None] + SLACK) & (tree.ids[None, lo:hi] != qid[who][:, None])
+            may = (gap <= kth[who][:, None] + wide) & (tree.ids[None, lo:hi] != qid[who][:, None])
             some = np.flatnonzero(may.any(0))
             if not len(some):
                 continue
-            d = distances(q[who], tree.vectors[lo:hi][some])
-            r, c = np.nonzero(may[:, some] & (d <= kth[who][:, None] + SLACK))
+            d = np.where(may[:, some], distances(q[who], tree.vectors[lo:hi][some]), np.inf)
+            near = kth[who]
+            if len(some) > k:  # the page's own k-th nearest bounds it too
+                near = np.minimum(near, np.partition(d, k - 1, 1)[:, k - 1])
+            r, c = np.nonzero((d <= near[:, None] + wide) & np.isfinite(d))
             if not len(r):
                 continue
             true = exact(q[who[r]], tree.vectors[lo + some[c]])
@@ -223,12 +231,13 @@ def top_k(table: DataFrame, k: int = K_NEAREST) -> DataFrame:
             f = f.copy()
             f["m"] = f.v.map(len)
             for m, part in f.groupby("m"):
-                d = distances(_matrix(part.v), piv[m])
+                v = _matrix(part.v)
+                d, wide = distances(v, piv[m]), slack(v, piv[m])
                 kth = np.where(part.have.fillna(0).to_numpy() >= k, part.kth.fillna(np.inf).to_numpy(), np.inf)
                 for p in range(d.shape[1]):
                     h = base[m] + p
                     if h in cover.value:
-                        go = (part.home.to_numpy() != h) & (d[:, p] - cover.value[h][0] <= kth + SLACK)
+                        go = (part.home.to_numpy() != h) & (d[:, p] - cover.value[h][0] <= kth + wide)
                         if go.any():
                             yield pd.DataFrame({"vec_id": part.vec_id[go], "v": part.v[go], "home": h, "kth": kth[go]})
 
