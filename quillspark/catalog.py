@@ -14,7 +14,7 @@ from quillspark.functions import text as T
 from quillspark.operators import anomalies, apply, audit, boilerplate, corpus, rules, score
 from quillspark.plans import sqltext as S
 from quillspark.sinks import books as sink
-from quillspark.sources import library
+from quillspark.sources import library, tables
 from quillspark.streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,8 +29,8 @@ def query(sql: str | None = None):
 
     def register(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            tables = [spark if n == "spark" else sf_dir if n == "sf_dir" else spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in f.__code__.co_varnames[: f.__code__.co_argcount]]
-            return f(*tables)
+            names = f.__code__.co_varnames[: f.__code__.co_argcount]
+            return f(*[{"spark": spark, "sf_dir": sf_dir}.get(n) or tables.table(spark, sf_dir, n) for n in names])
 
         QUERIES[f.__name__] = run
         if sql is not None:

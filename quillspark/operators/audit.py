@@ -65,12 +65,18 @@ DIALOGUE_COUNTERS = ["dlg_emdash", "dlg_endash", "dlg_hyphen"]
 COUNTERS = TEXT_COUNTERS + DIALOGUE_COUNTERS
 
 
-def text_counters(text: T.Text) -> dict[str, Column]:
-    """The 26 counters of a text."""
+def marks_of(text: T.Text) -> Column:
+    """The counted characters of a text and no others: one pass, after which each count is one over a short string."""
+    return T.sub(text, f"[^{''.join(CHARACTERS.values())}]+", "")
+
+
+def text_counters(text: T.Text, marked: bool = False) -> dict[str, Column]:
+    """The 26 counters of a text; marked: its marks_of are a column __marks already."""
     t = T.col(text)
     out = {"chars": F.length(t).cast("long")}
+    marks = F.col("__marks") if marked else marks_of(t)
     for name, chars in CHARACTERS.items():
-        out[name] = sum((T.count_of(t, c) for c in chars[1:]), T.count_of(t, chars[0]))
+        out[name] = sum((T.count_of(marks, c) for c in chars[1:]), T.count_of(marks, chars[0]))
     for name, patterns in PATTERNS.items():
         out[name] = sum((T.count_re(t, p) for p in patterns[1:]), T.count_re(t, patterns[0]))
     return out
@@ -90,14 +96,15 @@ def _sums(names: list[str]) -> list[Column]:
 
 def audit_texts(docs: DataFrame, book: list[str], text: str = "text") -> DataFrame:
     """A row for each book (the columns that name it) of plain texts, dialogue counters 0; only counters are shuffled."""
-    each = docs.select(*book, *[c.alias(n) for n, c in text_counters(text).items()])
+    each = docs.select(*book, T.col(text).alias("__t")).withColumn("__marks", marks_of("__t"))
+    each = each.select(*book, *[c.alias(n) for n, c in text_counters("__t", True).items()])
     return each.groupBy(*book).agg(F.count("*").cast("int").alias("n_docs"), *_sums(TEXT_COUNTERS)).select("*", *[F.lit(0).cast("long").alias(n) for n in DIALOGUE_COUNTERS])
 
 
 def audit_markup(docs: DataFrame, book: list[str], markup: str = "html") -> DataFrame:
     """A row for each book of marked-up documents: all 29 counters."""
-    each = docs.select(*book, T.col(markup).alias("__m")).withColumn("__t", T.text_audit("__m"))
-    each = each.select(*book, *[c.alias(n) for n, c in (text_counters("__t") | dialogue_counters("__m")).items()])
+    each = docs.select(*book, T.col(markup).alias("__m")).withColumn("__t", T.text_audit("__m")).withColumn("__marks", marks_of("__t"))
+    each = each.select(*book, *[c.alias(n) for n, c in (text_counters("__t", True) | dialogue_counters("__m")).items()])
     return each.groupBy(*book).agg(F.count("*").cast("int").alias("n_docs"), *_sums(COUNTERS))
 
 
