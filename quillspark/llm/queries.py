@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm import cotrain, decontam, langid, licenses, maskedlm, mtree, neardup, spiece, tokenstore, toxicity
+from quillspark.sources import tables
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.table(spark, sf_dir, name, spread=name in ("documents", "embeddings"))
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
