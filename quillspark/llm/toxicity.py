@@ -165,33 +165,35 @@ def lexicon(stems: list[str] = ()) -> Lexicon:
 def learn_stems(texts: list[str], toxic: list[bool], alpha: float = 0.01) -> list[str]:
     """Prefixes that mark toxic documents; none that extends another.
 
-    A prefix's evidence on either side is the smaller of the number of
-    documents and the number of different neighbourhoods (word before, word,
-    word after) it is seen in, so that copies and shared passages count once.
+    A prefix's evidence is the smaller of the number of toxic documents and
+    the number of different neighbourhoods (word before, word, word after) it
+    is seen in there, so that copies and shared passages count once.
     """
-    docs, around = (Counter(), Counter()), (Counter(), Counter())
+    docs, around = (Counter(), Counter()), Counter()
     total = [0, 0]
-    contexts: tuple[set, set] = (set(), set())
-    for t, x in zip(texts, toxic):
-        if not t:
-            continue
-        words = re.findall(r"[^\W\d_]+", t.lower())
-        total[x] += 1
-        docs[x].update({w[:k] for w in set(words) for k in range(STEM[0], min(STEM[1], len(w)) + 1)})
-        for c in zip(["", *words], words, [*words[1:], ""]):
-            h = hash(c)
-            if h not in contexts[x]:
-                contexts[x].add(h)
-                w = c[1]
-                if x:
-                    around[1].update(w[:k] for k in range(STEM[0], min(STEM[1], len(w)) + 1))
+    contexts: set[int] = set()
+    prefixes = lambda w: (w[:k] for k in range(STEM[0], min(STEM[1], len(w)) + 1))
+    # toxic documents first: of the others only prefixes that those have are counted
+    for x in (True, False):
+        for t, bad in zip(texts, toxic):
+            if not t or bad != x:
+                continue
+            words = re.findall(r"[^\W\d_]+", t.lower())
+            total[x] += 1
+            seen = {p for w in set(words) for p in prefixes(w)}
+            docs[x].update(seen if x else seen & docs[1].keys())
+            for c in zip(["", *words], words, [*words[1:], ""]) if x else ():
+                h = hash(c)
+                if h not in contexts:
+                    contexts.add(h)
+                    around.update(prefixes(c[1]))
     if not total[1] or not total[0]:
         return []
     tested = sum(1 for n in docs[1].values() if n > 1)
     base = total[1] / sum(total)
     good: dict[str, int] = {}
     for p, n in docs[1].items():
-        n, c = min(n, around[1][p]), docs[0][p]
+        n, c = min(n, around[p]), docs[0][p]
         if n < 2 or c > 0.02 * n:
             continue
         share = (n - c) / n
