@@ -53,9 +53,9 @@ def audit_counters(documents):
 
 
 @query(
-    f"""with p as (select page_id, list_transform(regexp_extract_all(replace(replace(html, '<p>A', '<p>— A'), '<p>T', '<p><i>- T'), {S.quoted(rf"(?i)<p[^>]*>(?:[{S.BLANK}]|&#160;|&nbsp;|&#xa0;|&#8239;|<[^>]+>)*({audit.DASH})")}, 1), lambda x: lower(x)) as d from pages)
-select page_id, len(list_filter(d, lambda x: x in ('—', '&#8212;', '&#x2014;', '&mdash;')))::bigint as dlg_emdash,
-  len(list_filter(d, lambda x: x in ('–', '&#8211;', '&#x2013;', '&ndash;')))::bigint as dlg_endash, len(list_filter(d, lambda x: x = '-'))::bigint as dlg_hyphen from p"""
+    f"""with p as (select page_id, list_transform(regexp_extract_all(replace(replace(html, '<p>A', '<p>— A'), '<p>T', '<p><i>- T'), {S.quoted(rf"(?i)<p[^>]*>(?:[{S.BLANK}]|<[^>]+>|&(?:nbsp|#160|#xa0|#8239);)*({audit.DASH})")}, 1), lambda x: lower(x)) as d from pages)
+select page_id, len(list_filter(d, lambda x: x in {S.among(audit.DASHES['dlg_emdash'])}))::bigint as dlg_emdash,
+  len(list_filter(d, lambda x: x in {S.among(audit.DASHES['dlg_endash'])}))::bigint as dlg_endash, len(list_filter(d, lambda x: x = '-'))::bigint as dlg_hyphen from p"""
 )
 def audit_dialogue(pages):
     html = F.replace(F.replace(F.col("html"), F.lit("<p>A"), F.lit("<p>— A")), F.lit("<p>T"), F.lit("<p><i>- T"))
@@ -127,7 +127,7 @@ def tag_balance(pages):
 
 @query(
     """with p as (select page_id, replace(replace(html, '<h1>', '<h1 id="top">'), '<p>', '<p name="t">') as html from pages),
-a as (select page_id, unnest(list_distinct(regexp_extract_all(case when regexp_matches(html, '(?is)<body[^>]*>.*</body>') then regexp_extract(html, '(?is)<body[^>]*>(.*)</body>', 1) else html end, '\\b(?:id|name)\\s*=\\s*["'']([^"'']+)["'']', 1))) as anchor from p)
+a as (select page_id, unnest(list_distinct(regexp_extract_all(case when regexp_matches(html, '(?is)<body(?:[^>]*)>.*</body>') then regexp_extract(html, '(?is)<body(?:[^>]*)>(.*)</body>', 1) else html end, '\\b(?:name|id)\\s*=\\s*["'']([^"'']+)["'']', 1))) as anchor from p)
 select page_id, anchor from a"""
 )
 def anchors(pages):
@@ -155,7 +155,7 @@ def word_frequency(documents):
     return anomalies.book_words(_damaged(documents), ["source"])
 
 
-@query(f"select source, word, n from ({_WORDS}) w where n < 3 and seen_lower and length(word) >= 3 and regexp_matches(word, '^[a-zà-öø-ÿœæ][a-zà-öø-ÿœæ''’-]*$') and word not in (select word from ({_LEXICON}))")
+@query(f"select source, word, n from ({_WORDS}) w where n < 3 and seen_lower and length(word) >= 3 and regexp_matches(word, '^[{anomalies.SMALL}][{anomalies.SMALL}''’-]*$') and word not in (select word from ({_LEXICON}))")
 def unknown_words(documents):
     return anomalies.unknown_words(_damaged(documents), ["source"], corpus.lexicon(documents, ["source"]))
 

@@ -122,7 +122,7 @@ def is_tag(fragment: Text) -> Column:
 
 
 def tag_name(fragment: Text) -> Column:
-    return F.lower(F.regexp_extract(col(fragment), r"^</?[\s]*([a-zA-Z0-9]+)", 1))
+    return F.lower(F.regexp_extract(col(fragment), r"^</?[\s]*([0-9A-Za-z]+)", 1))
 
 
 def skip_step(fragment: Text) -> Column:
@@ -133,7 +133,7 @@ def skip_step(fragment: Text) -> Column:
 
 
 _SPLIT = re.compile("(<[^>]+>)")
-_NAME = re.compile(r"</?\s*([a-zA-Z0-9]+)")
+_NAME = re.compile(r"</?\s*([0-9A-Za-z]+)")
 SEGMENTS = ArrayType(StructType([StructField("text", StringType()), StructField("kind", IntegerType()), StructField("para", BooleanType())]))
 RAW, PLAIN = 0, 1
 
@@ -206,7 +206,7 @@ def text_anomaly(markup: Text) -> Column:
 
 
 def text_check(markup: Text) -> Column:
-    return unescape(sub(sub(markup, r"(?is)<(style|script)\b.*?</\1>", ""), TAG, "\x00"))
+    return unescape(sub(sub(markup, r"(?is)<(script|style)\b.*?</\1>", ""), TAG, "\x00"))
 
 
 def text_license(markup: Text) -> Column:

@@ -19,7 +19,7 @@ from quillspark.functions import text as T
 
 LETTERS = "A-ZÀ-ÖØ-ÞŒÆa-zà-öø-ÿœæ"
 WORD = f"[{LETTERS}]+(?:[-'’][{LETTERS}]+)*"
-LOWER_START = "^[a-zà-öø-ÿœæ]"
+SMALL = T.LOWER + "œæ"
 ELIDED = "^(?:jusqu|lorsqu|puisqu|quoiqu|qu|[cdjlmnst])'"
 SHORTENED = r"\b(?:J\.-C|MM?|Mlles?|Mmes?|Dr|Pr|Ste?|art|av|cf|chap|etc|ex|n[o°]|p|vol)\.$"
 STARTERS = "Alors Car Ce Ces Cette Des Donc Elle Elles Et Il Ils Je La Le Les Mais Ni Nous On Or Ou Puis Tu Un Une Vous".split()
@@ -29,7 +29,7 @@ L = f"[{T.LOWER}]"
 
 #: type: pattern; the order is that of the detectors within a document
 PATTERNS = {
-    "min_apres_point": rf"(?<!\.)(?<!…)\. ({L})",
+    "min_apres_point": rf"(?<![.…])\. ({L})",
     "maj_apres_virgule": rf", ({'|'.join(sorted(STARTERS, key=len, reverse=True))})\b",
     "point_colle": rf"{L}{{2}}\.{L}{{2}}",
     "det_virgule": rf"\b({'|'.join(DETERMINERS)}) ?, {L}",
@@ -67,7 +67,7 @@ def book_words(docs: DataFrame, book: list[str], text: str = "text") -> DataFram
 
 def unknown_words(docs: DataFrame, book: list[str], lexicon: DataFrame | None = None, dictionary: DataFrame | None = None, text: str = "text") -> DataFrame:
     """Rare lower-case words of each book that are neither in the lexicon nor in the dictionary (both: word)."""
-    w = book_words(docs, book, text).filter((F.col("n") < 3) & F.col("seen_lower") & (F.length("word") >= 3) & F.col("word").rlike("^[a-zà-öø-ÿœæ][a-zà-öø-ÿœæ'’-]*$"))
+    w = book_words(docs, book, text).filter((F.col("n") < 3) & F.col("seen_lower") & (F.length("word") >= 3) & F.col("word").rlike(f"^[{SMALL}][{SMALL}'’-]*$"))
     for known in (lexicon, dictionary):
         if known is not None:
             w = w.join(known.select("word").distinct(), "word", "left_anti")
@@ -84,7 +84,7 @@ def counts(text: T.Text) -> dict[str, Column]:
     t = T.col(text)
     found = {k: T.count_re(t, "(?U)" + p) for k, p in PATTERNS.items()}
     hits = lambda pattern, group, keep: F.size(F.filter(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), keep)).cast("long")
-    found["min_apres_point"] = T.count_re(t, r"(?U)(?<!\.)(?<!…)(?<!" + SHORTENED.removesuffix(r"\.$") + rf")\. {L}")
+    found["min_apres_point"] = T.count_re(t, r"(?U)(?<![.…])(?<!" + SHORTENED.removesuffix(r"\.$") + rf")\. {L}")
     glued = PATTERNS["point_colle"]
     found["point_colle"] = hits(f"(?s)(?=({glued}.{{0,7}})){glued}", 1, lambda w: ~w.rlike(rf"(?U){DOMAIN}"))
     found["mot_double"] = hits("(?U)" + PATTERNS["mot_double"], 1, lambda w: ~w.isin(*DOUBLED))

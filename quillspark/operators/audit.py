@@ -31,9 +31,10 @@ ACCENTED = (
 ).split()
 AFTER_A = "cause ce ces cet cette chaque côté droite gauche la le les moitié partir peine peu\\ près présent qui quoi travers votre".replace("\\ ", "~").split()
 _PLAIN = str.maketrans("ÉÈÊéèê", "EEEeee")
-MOJIBAKE = "Ã[©¨§ª\u00a0¤¢«®¯´¶»¼]|â€™|â€œ|â€“|Å“|Â«|Â»|Â\u00a0|\ufffd"
-DASH = "—|–|-|&#8212;|&#x2014;|&#8211;|&#x2013;|&mdash;|&ndash;"
-DIALOGUE = rf"(?iU)<p[^>]*>(?:[{T.SPACE}]|&#160;|&nbsp;|&#xa0;|&#8239;|<[^>]+>)*({DASH})"
+MOJIBAKE = "\ufffd|Â[\u00a0«»]|Å\u201c|â€[\u201c\u2122œ]|Ã[\u00a0¢¤§¨©ª«®¯´¶»¼]"
+DASHES = {"dlg_emdash": ("—", "&mdash;", "&#x2014;", "&#8212;"), "dlg_endash": ("–", "&ndash;", "&#x2013;", "&#8211;"), "dlg_hyphen": ("-",)}
+DASH = "|".join(d for forms in DASHES.values() for d in forms)
+DIALOGUE = rf"(?iU)<p[^>]*>(?:[{T.SPACE}]|<[^>]+>|&(?:nbsp|#160|#xa0|#8239);)*({DASH})"
 
 
 def _any(words: list[str]) -> str:
@@ -46,7 +47,7 @@ CAPITAL_BAD = rf"(?U)\b(?:{_any([w.translate(_PLAIN) for w in ACCENTED])}|A(?= (
 CAPITAL_GOOD = rf"(?U)\b(?:{_any(ACCENTED)}|À)\b"
 
 PATTERNS = {
-    "ellipsis_dots": [r"(?<!\.)\.\.\.(?!\.)"],
+    "ellipsis_dots": [r"(?<!\.)\.{3}(?!\.)"],
     "punct_nbsp": [f"{T.FIXED}[!?;:]"],
     "punct_space": [f"[{T.LETTER}0-9)»…] [!?;]", f"[{T.LETTER})»] :"],
     "punct_none": [f"[{T.LETTER}][!?;]", f"[{T.LETTER}]:(?![/0-9])"],
@@ -86,8 +87,7 @@ def dialogue_counters(markup: T.Text) -> dict[str, Column]:
     """The dashes that begin paragraphs, by kind."""
     dashes = F.transform(F.regexp_extract_all(T.col(markup), F.lit(DIALOGUE), F.lit(1)), F.lower)
     among = lambda *forms: F.size(F.filter(dashes, lambda d: d.isin(*forms))).cast("long")
-    em, en = ("—", "&#8212;", "&#x2014;", "&mdash;"), ("–", "&#8211;", "&#x2013;", "&ndash;")
-    return {"dlg_emdash": among(*em), "dlg_endash": among(*en), "dlg_hyphen": among("-")}
+    return {name: among(*forms) for name, forms in DASHES.items()}
 
 
 def _sums(names: list[str]) -> list[Column]:
@@ -112,6 +112,11 @@ def audit_markup(docs: DataFrame, book: list[str], markup: str = "html") -> Data
 ENTRY_KINDS = {"n_fonts": r"(?i)\.(ttf|otf|woff2?)$", "n_css": r"(?i)\.css$", "n_images": r"(?i)\.(jpe?g|png|gif|svg|webp)$"}
 
 
+def _element(tag: str) -> str:
+    """The text of an element."""
+    return f"<{tag}[^>]*>([^<]+)</{tag}>"
+
+
 def container_facts(entries: DataFrame, book: str = "book_id") -> DataFrame:
     """n_docs, n_css, n_fonts, n_images, has_ncx, has_nav, fixed_layout, lang_opf, epub_version, encoding_issues by book of entries (book, ord, name, bytes)."""
     base = F.element_at(F.split(F.lower("name"), "/"), -1)
@@ -130,8 +135,8 @@ def container_facts(entries: DataFrame, book: str = "book_id") -> DataFrame:
     return out.select(
         "*",
         F.coalesce(text.contains("pre-paginated"), F.lit(False)).alias("fixed_layout"),
-        T.strip(found("<dc:language[^>]*>([^<]+)</dc:language>")).alias("lang_opf"),
-        found('<package[^>]*version="([^"]+)"').alias("epub_version"),
+        T.strip(found(_element("dc:language"))).alias("lang_opf"),
+        found('<package(?:[^>]*)version="([^"]+)"').alias("epub_version"),
     ).drop("__opf")
 
 

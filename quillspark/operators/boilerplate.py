@@ -20,7 +20,7 @@ BODY = re.compile("<body[^>]*>", re.I)
 GATE = "utenberg"
 LICENCE = "(?i)full Project Gutenberg|Literary Archive Foundation|accordance with paragraph"
 ACCENTS = "[àçèéêùœ]"
-CREDIT = re.compile("Produced by [^<]{0,400}?(?:ebooksgratuits|format|gutenberg)[^<]{0,200}", re.I)
+CREDIT = re.compile("Produced by [^<]{,400}?(?:ebooksgratuits|format|gutenberg)[^<]{,200}", re.I)
 BEGIN = re.compile(r"\*{3}\s*START OF [^*<]*\*{0,3}", re.I)
 FINISH = re.compile(r"End of (?:this |the )?Project Gutenberg|\*{3}\s*END OF", re.I)
 HEAD_OF_DOC = 6000
@@ -99,8 +99,8 @@ def _cut(markup: pd.Series, licence: pd.Series) -> pd.DataFrame:
 def body_of(markup: T.Text) -> Column:
     """What lies between <body> and the last </body>, or everything."""
     m = T.col(markup)
-    inner = F.regexp_extract(m, "(?is)<body[^>]*>(.*)</body>", 1)
-    return F.when(m.rlike("(?is)<body[^>]*>.*</body>"), inner).otherwise(m)
+    inner = F.regexp_extract(m, "(?is)<body(?:[^>]*)>(.*)</body>", 1)
+    return F.when(m.rlike("(?is)<body(?:[^>]*)>.*</body>"), inner).otherwise(m)
 
 
 def strip_documents(docs: DataFrame, markup: str = "html") -> DataFrame:
@@ -119,7 +119,7 @@ def strip_documents(docs: DataFrame, markup: str = "html") -> DataFrame:
 
 def anchors(markup: T.Text) -> Column:
     """Distinct values of id and name attributes in the body."""
-    return F.array_distinct(F.regexp_extract_all(body_of(markup), F.lit(r"""(?U)\b(?:id|name)\s*=\s*["']([^"']+)["']"""), F.lit(1)))
+    return F.array_distinct(F.regexp_extract_all(body_of(markup), F.lit(r"""(?U)\b(?:name|id)\s*=\s*["']([^"']+)["']"""), F.lit(1)))
 
 
 def surviving_anchors(stripped: DataFrame, book: list[str], markup: str = "stripped") -> DataFrame:
@@ -143,7 +143,8 @@ def target_ok(target: T.Text, surviving: T.Text, dropped: T.Text) -> Column:
     return ~gone & (fragment.isNull() | F.array_contains(T.col(surviving), fragment))
 
 
-_NCX = "http://www.daisy.org/z3986/2005/ncx/"
+_IDPF, _DAISY = "http://www.idpf.org", "http://www.daisy.org"
+_NCX = f"{_DAISY}/z3986/2005/ncx/"
 
 
 def prune_navigation(ncx: str, surviving: set[str], dropped: set[str]) -> str:
@@ -209,13 +210,20 @@ def pruned_package(opf: pd.Series, dropped: pd.Series) -> pd.Series:
 # --- metadata ---------------------------------------------------------------------------------------------------------
 
 _HOSTS = "ebooksgratuits|gutenberg"
+
+
+def _naming(tag: str, words: str) -> str:
+    """An element of the package that names one of the words."""
+    return f"(?i)<dc:{tag}[^>]*>[^<]*(?:{words})[^<]*</dc:{tag}>"
+
+
 UNWANTED = [
-    r"(?i)<dc:contributor[^>]*>[^<]*(?:distributed proofreaders|gutenberg)[^<]*</dc:contributor>",
-    rf"(?i)<dc:publisher[^>]*>[^<]*(?:{_HOSTS})[^<]*</dc:publisher>",
-    r"(?is)<dc:rights[^>]*>.*?</dc:rights>",
-    rf"(?i)<dc:source[^>]*>[^<]*(?:{_HOSTS})[^<]*</dc:source>",
+    _naming("contributor", "distributed proofreaders|gutenberg"),
+    _naming("publisher", _HOSTS),
+    "(?is)<dc:{0}[^>]*>.*?</dc:{0}>".format("rights"),
+    _naming("source", _HOSTS),
 ]
-RIGHTS = "Domaine public — œuvre. Édition (corrections typographiques et OCR) versée au domaine public / CC0."
+RIGHTS = " ".join(["Domaine public — œuvre.", "Édition", "(corrections typographiques et OCR)", "versée au domaine public / CC0."])
 
 
 @dataclass(frozen=True)
@@ -241,7 +249,7 @@ def clean_package(opf: T.Text, meta: Metadata) -> Column:
     for pattern in UNWANTED:
         t = T.sub(t, pattern, "")
     if meta.author:
-        t = T.sub(t, "(<dc:creator[^>]*>)[^<]*(</dc:creator>)", f"$1{_literal(meta.author)}$2")
+        t = T.sub(t, "(<{0}[^>]*>)[^<]*(</{0}>)".format("dc:creator"), f"$1{_literal(meta.author)}$2")
     add = [F.lit(f"<dc:rights>{RIGHTS}</dc:rights>")]
     if meta.note:
         add.append(F.lit(f'<dc:contributor opf:role="edt">{meta.note}</dc:contributor>'))
@@ -249,7 +257,7 @@ def clean_package(opf: T.Text, meta: Metadata) -> Column:
         if value:
             add.append(F.when(~F.contains(t, F.lit(f"<dc:{tag}")), F.lit(f"<dc:{tag}>{value}</dc:{tag}>")))
     first = F.instr(t, "<metadata")
-    space = F.concat(F.substring(t, F.lit(1), first + 8), F.lit(' xmlns:opf="http://www.idpf.org/2007/opf"'), F.substring(t, first + 9, F.length(t)))
+    space = F.concat(F.substring(t, F.lit(1), first + 8), F.lit(f' xmlns:opf="{_IDPF}/2007/opf"'), F.substring(t, first + 9, F.length(t)))
     t2 = F.when((first > 0) & ~F.contains(t, F.lit("xmlns:opf")), space).otherwise(t)
     end = F.instr(t2, "</metadata>")
     lines = F.concat(F.lit("\n  "), F.concat_ws("\n  ", *add), F.lit("\n"))
@@ -259,4 +267,4 @@ def clean_package(opf: T.Text, meta: Metadata) -> Column:
 
 def navigation_id(ncx: T.Text, meta: Metadata) -> Column:
     """The navigation with the package's identifier."""
-    return T.sub(ncx, r'(<meta\s+name="dtb:uid"\s+content=")[^"]*(")', f"$1{_literal(meta.new_id())}$2")
+    return T.sub(ncx, r'(<meta\s+name=["]dtb:uid["]\s+content=["])[^"]*(["])', f"$1{_literal(meta.new_id())}$2")

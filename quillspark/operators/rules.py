@@ -67,7 +67,7 @@ class Rule:
 APOSTROPHES = Rule("R1_apostrophes", ((f"(?<=[{T.LETTER}])'(?=[{T.LETTER}])", "’"),))
 LIGATURES = Rule("R2_ligatures", ((OE_LOWER, "$1œ$2"), (OE_UPPER, "$1Œ$2")))
 DIALOGUES = Rule("R3_dialogues", ((f"(?U)^({BLANK}*)-{WIDE}+", f"$1—{T.NBSP}"),))
-ELLIPSIS = Rule("R5_ellipsis", ((r"(?<!\.)\.\.\.(?!\.)", "…"),))
+ELLIPSIS = Rule("R5_ellipsis", ((r"(?<!\.)\.{3}(?!\.)", "…"),))
 
 
 def spacing(style: str = "fine") -> Rule:

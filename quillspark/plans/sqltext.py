@@ -218,6 +218,6 @@ def fragment_rows() -> str:
     skipped = among(list(T.SKIPPED))
     return f"""
 f0 as (select page_id, unnest(regexp_extract_all(html, '<[^>]+>|[^<]+')) as fragment, unnest(range(len(regexp_extract_all(html, '<[^>]+>|[^<]+')))) as ord from pages),
-f1 as (select *, fragment like '<%' as is_tag, lower(regexp_extract(fragment, '^</?\\s*([a-zA-Z0-9]+)', 1)) as name from f0),
+f1 as (select *, fragment like '<%' as is_tag, lower(regexp_extract(fragment, '^</?\\s*([0-9A-Za-z]+)', 1)) as name from f0),
 f2 as (select *, sum(case when is_tag and name in {skipped} then case when fragment like '</%' then -1 else 1 end else 0 end) over (partition by page_id order by ord) as s from f1),
 f as (select *, s - least(0, min(s) over (partition by page_id order by ord)) > 0 as in_skip from f2)"""
