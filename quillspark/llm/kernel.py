@@ -22,6 +22,7 @@ _BASE = 0xD6E8FEB86659FD93
 _BASE_INV = pow(_BASE, -1, 1 << 64)
 _U = np.uint64
 CHUNK_CHARS = 1 << 17
+KEPT = 1 << 18
 
 _tables: dict[str, np.ndarray] = {}
 
@@ -52,21 +53,24 @@ def tables() -> dict[str, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n."""
+    """BASE**i and BASE**-i modulo 2**64 for i < n; kept for the process only up to KEPT, which nearly all texts are under."""
     have = _tables.get("pw")
-    if have is None or len(have) < n:
-        tables()
-        m = 1 << max(16, int(n - 1).bit_length())
-        for key, base in (("pw", _BASE), ("ipw", _BASE_INV)):
-            out = np.empty(m, np.uint64)
-            out[0] = 1
-            done, step = 1, base
-            while done < m:
-                out[done : 2 * done] = out[:done] * _U(step)
-                step = step * step % (1 << 64)
-                done *= 2
-            _tables[key] = out
-    return _tables["pw"], _tables["ipw"]
+    if have is not None and len(have) >= n:
+        return have, _tables["ipw"]
+    m = max(KEPT, 1 << int(n - 1).bit_length())
+    made = []
+    for base in (_BASE, _BASE_INV):
+        out = np.empty(m, np.uint64)
+        out[0] = 1
+        done, step = 1, base
+        while done < m:
+            out[done : 2 * done] = out[:done] * _U(step)
+            step = step * step % (1 << 64)
+            done *= 2
+        made.append(out)
+    if m == KEPT:
+        _tables["pw"], _tables["ipw"] = made
+    return made[0], made[1]
 
 
 class Codes:

@@ -36,8 +36,8 @@ from quillspark.llm import kernel as K
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
-CACHE_UNITS = 400_000
-CHUNK = 1 << 19
+CACHE_UNITS = 250_000
+CHUNK = 1 << 18
 
 
 # --- compiled character map -------------------------------------------------
