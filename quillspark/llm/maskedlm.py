@@ -6,16 +6,17 @@ position-wise embeddings, trained in NumPy), times that of the word within its
 class (corpus frequencies).  A document's score is the sum of the logarithms.
 
 Everything is gathered from all documents: the words are counted in one
-shuffle; each word above MIN_SHARE of all tokens has a probability of its own
-(so at most 1 / MIN_SHARE of them, however large the corpus is), the others
-of a class share what is left of it evenly; each of the TOP most frequent words is a class,
-the other classes are hashes of a word's last two characters.  Every token of
+shuffle and every word, however rare, has the probability of its own count,
+which is joined to the words of each block of documents and never gathered in
+one place; each of the TOP most frequent words is a class, the other classes
+are hashes of a word's last two characters.  Every token of
 every document is a training target once: the documents are dealt to ROUNDS
 rounds by a hash, in each round every partition takes Adam steps from the common network over
 its share, and the networks are averaged, weighted by their tokens.
 
-Tokens are stored as one byte per word in the shared checkpoint folder, so
-texts are cut into words twice, however many rounds there are.
+Texts are cut into words once: blocks of about BLOCK words are stored as
+numbers into the block's own words in the shared checkpoint folder, and then
+as one byte per word.
 
 Defined results
     null or empty text, text without a word: tokens 0, log_likelihood 0, mean_log_prob null.
@@ -31,6 +32,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,7 @@ HIDDEN = 16
 ROUNDS = 4
 BATCH = 4096
 RATE = 0.01
-MIN_SHARE = 2e-6
+BLOCK = 1 << 20
 _SHAPES = ((2 * WINDOW * CLASSES, HIDDEN), (HIDDEN,), (HIDDEN, CLASSES), (CLASSES,))
 
 
@@ -56,92 +58,146 @@ def suffix(w: K.Words) -> np.ndarray:
 # --- words ----------------------------------------------------------------------
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """h, s, c: each word's hash, suffix class and number of occurrences in all documents."""
+def pack(x: np.ndarray) -> bytes:
+    """Small whole numbers, compressed: all their low bytes, then all their second bytes, and so on."""
+    return pa.compress(np.ascontiguousarray(x.astype("<u4")).view(np.uint8).reshape(-1, 4).T.tobytes(), "zstd", asbytes=True) if len(x) else b""
+
+
+def unpack(raw: bytes, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, np.uint32)
+    return np.frombuffer(np.frombuffer(pa.decompress(raw, 4 * n, "zstd"), np.uint8).reshape(4, n).T.tobytes(), "<u4")
+
+
+class Dictionary:
+    """The words of a block of documents, numbered as they first occur: their hashes, suffix classes and numbers of occurrences."""
+
+    def __init__(self) -> None:
+        self.sorted, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.hash: list[np.ndarray] = []
+        self.suffix: list[np.ndarray] = []
+        self.count = np.zeros(0, np.int64)
+        self.tokens = 0
+
+    def add(self, w: K.Words) -> np.ndarray:
+        """The number of each word, after the new ones among them got theirs."""
+        u, first, inv, c = np.unique(w.hash, return_index=True, return_inverse=True, return_counts=True)
+        i = K.in_sorted(u, self.sorted)
+        new = i < 0
+        at = np.where(new, len(self.count) - 1 + np.cumsum(new), self.at[i] if len(self.at) else 0)
+        self.hash.append(u[new])
+        self.suffix.append(suffix(w)[first[new]])
+        self.count = np.append(self.count, np.zeros(int(new.sum()), np.int64))
+        self.count[at] += c
+        self.tokens += len(inv)
+        merged = np.concatenate([self.sorted, u[new]])
+        order = np.argsort(merged, kind="stable")
+        self.sorted, self.at = merged[order], np.concatenate([self.at, at[new]])[order]
+        return at[inv]
+
+
+def cut(docs: DataFrame) -> DataFrame:
+    """A row for each document: block, doc_id, deal, n (words), ids (their packed numbers in the block); and one for each block's words: block, h, s, c."""
+
+    def row(names: str, *cols: pa.Array) -> pa.RecordBatch:
+        given = dict(zip(names.split(), cols))
+        kinds = {"block": pa.int64(), "doc_id": pa.int64(), "deal": pa.int32(), "n": pa.int64(), "ids": pa.binary(), "h": pa.binary(), "s": pa.binary(), "c": pa.binary()}
+        return pa.RecordBatch.from_arrays([given.get(n, pa.nulls(len(cols[0]), k)) for n, k in kinds.items()], list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        block, d = TaskContext.get().partitionId() << 32, Dictionary()
 
-        def merged() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            h, s, c = (np.concatenate(x) for x in zip(*kept))
-            u, first, inv = np.unique(h, return_index=True, return_inverse=True)
-            return u, s[first], np.bincount(inv, c).astype(np.int64)
+        def words() -> pa.RecordBatch:
+            parts = (np.concatenate(d.hash).astype("<u8"), np.concatenate(d.suffix).astype(np.uint8), d.count.astype("<i8"))
+            return row("block h s c", pa.array([block]), *(pa.array([x.tobytes()], pa.binary()) for x in parts))
 
         for batch in batches:
-            for _, _, part in K.text_chunks(batch.column("text").to_pylist()):
+            for lo, hi, part in K.text_chunks(batch.column("text").to_pylist()):
                 w = K.Words(part)
-                u, first, c = np.unique(w.hash, return_index=True, return_counts=True)
-                kept.append((u, suffix(w)[first], c))
-                if len(kept) >= 32:
-                    kept[:] = [merged()]
-        if kept:
-            h, s, c = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(h.astype(np.int64)), pa.array(s), pa.array(c)], ["h", "s", "c"])
+                at = d.add(w)
+                ids = [pack(at[a:b]) for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
+                doc_id, deal = (batch.column(x).slice(lo, hi - lo) for x in ("doc_id", "deal"))
+                yield row("block doc_id deal n ids", pa.array([block] * len(part)), doc_id, deal, pa.array(np.diff(w.first)), pa.array(ids, pa.binary()))
+                if d.tokens >= BLOCK:
+                    yield words()
+                    block, d = block + 1, Dictionary()
+        if d.hash:
+            yield words()
+
+    deal = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("deal")
+    return docs.select(F.col("doc_id").cast("long"), deal, "text").mapInArrow(run, "block long, doc_id long, deal int, n long, ids binary, h binary, s binary, c binary")
 
-    raw = docs.select("text").filter("text is not null").mapInArrow(run, "h long, s long, c long")
-    return raw.groupBy("h").agg(F.min("s").alias("s"), F.sum("c").alias("c"))
+
+def block_words(blocks: DataFrame) -> DataFrame:
+    """block, at, h, s, c: the words of each block of cut(), with their numbers in it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, *parts in zip(*(batch.column(n).to_pylist() for n in ("block", "h", "s", "c"))):
+                h, s, c = (np.frombuffer(x, kind) for x, kind in zip(parts, ("<i8", np.uint8, "<i8")))
+                for lo in range(0, len(h), 1 << 16):
+                    n = len(h[lo : lo + (1 << 16)])
+                    cols = (np.full(n, block), np.arange(lo, lo + n, dtype=np.int32), h[lo : lo + n], s[lo : lo + n].astype(np.int64), c[lo : lo + n])
+                    yield pa.RecordBatch.from_arrays(list(map(pa.array, cols)), ["block", "at", "h", "s", "c"])
+
+    return blocks.filter("h is not null").select("block", "h", "s", "c").mapInArrow(run, "block long, at int, h long, s long, c long")
+
+
+def total_counts(words: DataFrame) -> DataFrame:
+    return words.groupBy("h").agg(F.min("s").alias("s"), F.sum("c").alias("c"))
+
+
+def count_words(docs: DataFrame) -> DataFrame:
+    """h, s, c: each word's hash, suffix class and number of occurrences in all documents."""
+    return total_counts(block_words(cut(docs)))
 
 
 @dataclass
 class Vocabulary:
-    """Words with a probability of their own (sorted hashes, class, log probability in it), and those of the rest, by suffix class."""
+    """The words that are classes (hashes, in the order of their classes), the number of tokens in each class, its log share of all."""
 
-    hash: np.ndarray
-    cls: np.ndarray
-    logp: np.ndarray
-    rest: np.ndarray
+    top: np.ndarray
+    mass: np.ndarray
     prior: np.ndarray
 
-    def classify(self, w: K.Words) -> tuple[np.ndarray, np.ndarray]:
-        """Class and log probability within it of each word."""
-        u, first, inv = np.unique(w.hash, return_index=True, return_inverse=True)
-        s = suffix(w)[first]
-        i = K.in_sorted(u, self.hash)
-        cls, logp = 1 + TOP + s, self.rest[s]
-        known = i >= 0
-        cls[known], logp[known] = self.cls[i[known]], self.logp[i[known]]
-        return cls[inv], logp[inv]
-
-
-def vocabulary(counts: DataFrame, min_share: float = MIN_SHARE) -> Vocabulary:
-    total = counts.agg(F.sum("c")).first()[0] or 0
-    own = F.col("c") >= min_share * total
-    got = counts.filter(own).toArrow()
-    h, s, c = (got.column(n).to_numpy() for n in ("h", "s", "c"))
-    h = h.astype(np.uint64)
-    order = np.lexsort((h, -c))
-    cls = 1 + TOP + s
-    cls[order[:TOP]] = 1 + np.arange(min(TOP, len(order)))
-    rest_mass, rest_types = np.zeros(SUFFIXES), np.zeros(SUFFIXES)
-    for r in counts.filter(~own).groupBy("s").agg(F.sum("c"), F.count("*")).collect():  # a row for each suffix class
-        rest_mass[r[0]], rest_types[r[0]] = r[1], r[2]
-    mass = np.bincount(cls, c, CLASSES) + np.concatenate([np.zeros(1 + TOP), rest_mass])
-    safe = np.maximum(mass, 1)
-    order = np.argsort(h)
-    rest = np.log(np.maximum(rest_mass, 0.5) / np.maximum(rest_types, 1) / safe[1 + TOP :])
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """What the classes need; every word's own count stays in the distributed table."""
+    mass = np.zeros(CLASSES)
+    # as unsigned numbers, the larger half of the hashes is negative here
+    top = counts.orderBy(F.desc("c"), F.expr("h < 0"), "h").limit(TOP).collect()
+    for k, r in enumerate(top):
+        mass[1 + k] = r["c"]
+    for r in counts.groupBy("s").agg(F.sum("c")).collect():  # a row for each suffix class
+        mass[1 + TOP + r[0]] = r[1] - sum(t["c"] for t in top if t["s"] == r[0])
     prior = np.log((mass + 0.5) / (mass.sum() + 0.5 * CLASSES))
-    return Vocabulary(h[order], cls[order], np.log(c / safe[cls])[order], rest, prior)
+    return Vocabulary(np.array([r["h"] for r in top], np.int64), mass, prior)
 
 
-def tokens(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """doc_id, ids (a byte per word), within (sum of the words' log probabilities in their classes), deal of each document."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+def tokens(blocks: DataFrame, words: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """doc_id, ids (a byte per word), within (sum of the words' log probabilities in their classes), deal of each document.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lo, hi, part in K.text_chunks(batch.column("text").to_pylist()):
-                w = K.Words(part)
-                cls, logp = shared.value.classify(w)
-                raw = cls.astype(np.uint8).tobytes()
-                ids = [raw[a:b] for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist())]
-                within = np.bincount(w.doc, logp, len(part)).astype(float)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), batch.column("deal").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(within)],
-                    ["doc_id", "deal", "ids", "within"],
-                )
+    Each block's words get their counts in all documents by a join on the hash; its documents then meet them by the block."""
+    shared = blocks.sparkSession.sparkContext.broadcast(vocab.mass)
+    cls = F.col("s") + 1 + TOP
+    if len(vocab.top):
+        own = F.create_map(*(F.lit(x) for k, h in enumerate(vocab.top.tolist()) for x in (h, 1 + k)))
+        cls = F.coalesce(own[F.col("h")].cast("long"), cls)
+    known = words.select("block", "at", "h", "s").join(counts.select("h", "c"), "h").select("block", "at", cls.cast("int").alias("cls"), "c")
+    mine = blocks.filter("h is null").select("block", "doc_id", "deal", "n", "ids")
 
-    deal = F.pmod(F.xxhash64("doc_id"), F.lit(ROUNDS)).cast("int").alias("deal")
-    return docs.select(F.col("doc_id").cast("long"), deal, "text").mapInArrow(run, "doc_id long, deal int, ids binary, within double")
+    def run(docs: pa.Table, table: pa.Table) -> pa.Table:
+        order = np.argsort(table.column("at").to_numpy())
+        cls, c = (table.column(x).to_numpy()[order] for x in ("cls", "c"))
+        logp = np.log(c / shared.value[cls])
+        ids, within = [], []
+        for x, n in zip(docs.column("ids").to_pylist(), docs.column("n").to_pylist()):
+            at = unpack(x, n)
+            ids.append(cls[at].astype(np.uint8).tobytes())
+            within.append(float(logp[at].sum()))
+        return pa.table([docs.column("doc_id"), docs.column("deal"), pa.array(ids, pa.binary()), pa.array(within, pa.float64())], ["doc_id", "deal", "ids", "within"])
+
+    return mine.groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, "doc_id long, deal int, ids binary, within double")
 
 
 # --- network ----------------------------------------------------------------------
@@ -256,20 +312,14 @@ def score_ids(net: Network, ids: list[bytes]) -> np.ndarray:
     return total[first[1:]] - total[first[:-1]]
 
 
-@dataclass
-class Model:
-    vocab: Vocabulary
-    net: Network
-
-
-def score(docs: DataFrame, min_share: float = MIN_SHARE, rounds: int = ROUNDS, model: Model | None = None) -> DataFrame:
+def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """doc_id, tokens, log_likelihood, mean_log_prob for each row of docs (doc_id, text)."""
-    if model is None:
-        vocab = vocabulary(K.saved(count_words(docs)), min_share)
-        rows = K.saved(tokens(docs, vocab))
-        net = train(rows, vocab.prior, rounds)
-    else:
-        rows, net = tokens(docs, model.vocab), model.net
+    blocks = K.saved(cut(docs))
+    words = block_words(blocks)
+    counts = K.saved(total_counts(words))
+    vocab = vocabulary(counts)
+    rows = K.saved(tokens(blocks, words, counts, vocab))
+    net = train(rows, vocab.prior, rounds)
     shared = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -347,6 +347,27 @@ def test_word_counts_cover_all_documents(table, texts):
     assert got == sorted(want.values())
 
 
+def test_every_word_is_scored_by_its_own_count(spark, monkeypatch):
+    from collections import Counter
+
+    monkeypatch.setattr(maskedlm, "BLOCK", 5_000)  # several blocks in a partition
+    rng = np.random.default_rng(8)
+    lines = [[f"w{x}" for x in rng.integers(0, 40, 500)] for _ in range(1200)]
+    lines[3] += ["onceqq", "twiceqq", "thriceqq", "thriceqq"]  # 1, 2 and 3 of 600,007 tokens in one suffix class
+    lines[900] += ["twiceqq", "thriceqq"]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string").repartition(3)
+    blocks = maskedlm.cut(df)
+    known = maskedlm.block_words(blocks)
+    counts = maskedlm.total_counts(known)
+    vocab = maskedlm.vocabulary(counts)
+    got = {r["doc_id"]: r for r in maskedlm.tokens(blocks, known, counts, vocab).collect()}
+    count, common = Counter(w for x in lines for w in x), {f"w{i}" for i in range(40)}
+    mass = sum(n for w, n in count.items() if w not in common)
+    assert mass == 6 and vocab.mass.sum() == sum(count.values())
+    for i, x in enumerate(lines):
+        assert got[i]["within"] == pytest.approx(sum(np.log(count[w] / mass) for w in x if w not in common), abs=1e-6) and len(got[i]["ids"]) == len(x)
+
+
 # --- pipeline ---------------------------------------------------------------------------------------------------------------
 
 
