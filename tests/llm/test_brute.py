@@ -359,13 +359,46 @@ def test_every_word_is_scored_by_its_own_count(spark, monkeypatch):
     blocks = maskedlm.cut(df)
     known = maskedlm.block_words(blocks)
     counts = maskedlm.total_counts(known)
-    vocab = maskedlm.vocabulary(counts)
+    vocab = maskedlm.vocabulary(counts, maskedlm.Shape())
     got = {r["doc_id"]: r for r in maskedlm.tokens(blocks, known, counts, vocab).collect()}
     count, common = Counter(w for x in lines for w in x), {f"w{i}" for i in range(40)}
     mass = sum(n for w, n in count.items() if w not in common)
     assert mass == 6 and vocab.mass.sum() == sum(count.values())
     for i, x in enumerate(lines):
-        assert got[i]["within"] == pytest.approx(sum(np.log(count[w] / mass) for w in x if w not in common), abs=1e-6) and len(got[i]["ids"]) == len(x)
+        assert got[i]["within"] == pytest.approx(sum(np.log(count[w] / mass) for w in x if w not in common), abs=1e-6) and got[i]["n"] == len(x)
+
+
+def test_grouped_classes_token_by_token():
+    rng = np.random.default_rng(9)
+    shape = maskedlm.Shape(20, 4, 5, 16)
+    net = maskedlm.Network.fresh(rng.normal(size=20), shape=shape)
+    rows, target = rng.integers(0, 20, (4, 30)) + 20 * np.arange(4)[:, None], rng.integers(0, 20, 30)
+    h, z = net.log_probs(rows)
+    logp, dh, grads = net.of_targets(h, target, grad=True)
+    assert np.allclose(np.exp(z).sum(1), 1, atol=1e-4) and np.allclose(logp, z[np.arange(30), target], atol=1e-4)
+    for name, g in zip(("out", "out_bias", "group", "group_bias"), grads):
+        x = getattr(net, name)
+        for i in rng.integers(0, x.size, 5):
+            at, old = np.unravel_index(i, x.shape), x.flat[i]
+            loss = []
+            for d in (0.01, -0.01):
+                x[at] = old + d
+                loss.append(-net.of_targets(h, target)[0].astype(float).mean())
+            x[at] = old
+            assert g[at] == pytest.approx((loss[0] - loss[1]) / 0.02, abs=1e-3)
+
+
+def test_classes_follow_the_corpus_and_rare_words_are_told_apart(spark):
+    small, large = maskedlm.Shape.of(400_000), maskedlm.Shape.of(400_000_000)
+    assert large.classes > 10 * small.classes and large.hidden > small.hidden
+    rng = np.random.default_rng(10)
+    rare = [f"q{chr(97 + i % 26)}{chr(97 + i // 26)}zz" for i in range(300)]  # one suffix, none is a frequent word
+    frequent = [f"w{i}" for i in range(200)]
+    lines = [[frequent[x] for x in rng.integers(0, 200, 60)] + [rare[i % 300], "w1", rare[(7 * i + 1) % 300], "w2"] for i in range(600)]
+    lines += [[rare[i], "w5", "w6", "w7", rare[i + 1]] for i in range(0, 40, 2)] + [[rare[i + 1], "w5", "w6", "w7", rare[i]] for i in range(0, 40, 2)]
+    df = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(lines)], "doc_id long, text string")
+    got = {r["doc_id"]: r["log_likelihood"] for r in maskedlm.score(df).collect()}
+    assert sum(abs(got[600 + i] - got[620 + i]) > 1e-3 for i in range(20)) >= 12  # exchanged words of one suffix
 
 
 # --- pipeline ---------------------------------------------------------------------------------------------------------------
