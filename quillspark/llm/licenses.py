@@ -7,6 +7,12 @@ t/(2-t) <= a/b <= (2-t)/t; templates whose size is out of these bounds are
 pruned before anything is counted, and so are segments without any bigram of
 a template.  All segments of a chunk are compared side by side.
 
+A notice that fills none of these (amid a line, wrapped before other text,
+parted by empty lines, under CR LF) is found by windows of each template's
+number of words, opened wherever enough bigrams of the template stand close.
+They are rows of kind `window` beside the others, in a query of their own:
+the SQL states the three segmentations only.
+
 Defined results
     null or empty text, or under two words: no row.
     ties: each template that reaches the threshold gives a row.
@@ -64,6 +70,9 @@ class Index:
         self.hash, first = np.unique(pairs[:, 0], return_index=True)
         self.first = np.append(first, len(pairs))
         self.template = pairs[:, 1].astype(np.int64)
+        self.words = np.diff(w.first)
+        of = np.repeat(np.arange(len(self.hash)), np.diff(self.first))
+        self.template_grams = [of[self.template == t] for t in range(len(self.names))]
         self.bits = np.zeros(1 << 16, bool)
         self.bits[self.hash >> np.uint64(48)] = True
 
@@ -139,8 +148,55 @@ def scan(texts: list[str], index: Index, threshold: float) -> Iterator[tuple[int
                 yield int(owner[where[i]]), kind, int(marked[i] - place[where[i]]), index.names[t_], int(c), int(size[i]), int(index.size[t_]), round(dice, 6)
 
 
-def find(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, kind, segment (from 0), licence, common, size, template_size, dice for each segment like a template."""
+def scan_windows(texts: list[str], index: Index, threshold: float) -> Iterator[tuple[int, str, int, str, int, int, int, float]]:
+    """As scan(), for runs of as many words as the template has, wherever they stand; a shorter text is one run.
+
+    Of overlapping runs that reach the threshold, from the first on as long as each overlaps the one before, the most alike is given,
+    the first of such; segment is its first word's number in the text."""
+    w = K.Words(texts)
+    if len(w.hash) < 2:
+        return
+    at, h = w.grams(2)
+    full = np.zeros(len(w.hash), np.uint64)
+    full[at] = h
+    maybe = at[index.bits[h >> np.uint64(48)]]
+    gram = K.in_sorted(full[maybe], index.hash)
+    maybe, gram = maybe[gram >= 0], gram[gram >= 0]
+    n = index.first[gram + 1] - index.first[gram]
+    rows = np.repeat(np.arange(len(gram)), n)
+    template = index.template[np.repeat(index.first[gram] - np.append(0, np.cumsum(n)[:-1]), n) + np.arange(len(rows))] if len(rows) else np.zeros(0, np.int64)
+    for t in np.unique(template).tolist():
+        hits, wide, own = maybe[rows[template == t]], int(index.words[t]), int(index.size[t])
+        # Dice >= threshold needs so many hits in a run
+        k = max(1, int(np.ceil(threshold / (2 - threshold) * own - 1e-9)))
+        if len(hits) < k:
+            continue
+        a, b = hits[: len(hits) - k + 1], hits[k - 1 :]
+        near = (b - a <= wide - 2) & (w.doc[a] == w.doc[b])
+        a, b = a[near], b[near]
+        first, last = w.first[w.doc[a]], w.first[w.doc[a] + 1]
+        lo, hi = np.maximum(first, b - (wide - 2)), np.minimum(a, np.maximum(first, last - wide))
+        words, best, until, done = set(index.hash[index.template_grams[t]].tolist()), None, -1, -1
+        for start, stop, d, end in zip(lo.tolist(), hi.tolist(), w.doc[a].tolist(), last.tolist()):
+            for i in range(max(start, done + 1), stop + 1):
+                done = i
+                grams = set(full[i : min(i + wide, end) - 1].tolist())
+                c = len(grams & words)
+                dice = 2 * c / (len(grams) + own)
+                if dice < threshold:
+                    continue
+                if best is not None and (i >= until or d != best[0]):
+                    yield best
+                    best = None
+                if best is None or dice > exact:
+                    best, exact = (d, "window", i - int(w.first[d]), index.names[t], c, len(grams), own, round(dice, 6)), dice
+                until = i + wide
+        if best is not None:
+            yield best
+
+
+def find(docs: DataFrame, templates: dict[str, str] | None = None, threshold: float = THRESHOLD, windows: bool = False) -> DataFrame:
+    """doc_id, kind, segment (from 0), licence, common, size, template_size, dice for each segment like a template; windows: and for each window."""
     index = docs.sparkSession.sparkContext.broadcast(Index(TEMPLATES if templates is None else templates))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,6 +204,8 @@ def find(docs: DataFrame, templates: dict[str, str] | None = None, threshold: fl
             ids = batch.column("doc_id").to_pylist()
             for lo, _, part in K.text_chunks(batch.column("text").to_pylist()):
                 rows = list(scan(part, index.value, threshold))
+                if windows:
+                    rows += scan_windows(part, index.value, threshold)
                 if rows:
                     cols = list(zip(*rows))
                     cols[0] = [ids[lo + d] for d in cols[0]]

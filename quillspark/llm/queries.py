@@ -20,6 +20,10 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.find(_table(spark, sf_dir, "documents"))
 
 
+def op2_license_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.find(_table(spark, sf_dir, "documents"), windows=True)
+
+
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.pack(_table(spark, sf_dir, "documents"))
 
@@ -57,6 +61,7 @@ QUERIES = {
     for f in (
         op1_decontamination,
         op2_license_scan,
+        op2_license_windows,
         op3_token_store,
         op4_quality_cotraining,
         op5_exact_top_k,

@@ -102,6 +102,47 @@ def test_licences_by_counting(threshold):
     assert got == want and want
 
 
+def windows_by_counting(text, threshold):
+    w, out = words(text), set()
+    pairs = lambda x: set(zip(x, x[1:]))
+    for n, x in licenses.TEMPLATES.items():
+        b, wide, run = pairs(words(x)), len(words(x)), []
+        for i in range(max(1, len(w) - wide + 1)):
+            a = pairs(w[i : i + wide])
+            dice = 2 * len(a & b) / (len(a) + len(b))
+            if dice >= threshold:
+                if run and i >= run[-1][1] + wide:
+                    out.add((min(r[1] for r in run if r[0] == max(run)[0]), n))
+                    run = []
+                run.append((dice, i))
+        if run:
+            out.add((min(r[1] for r in run if r[0] == max(run)[0]), n))
+    return out
+
+
+def test_licences_wherever_they_stand(spark):
+    full = licenses.TEMPLATES
+    wrap = lambda s, n, end: end.join(" ".join(s.split()[i : i + n]) for i in range(0, len(s.split()), n))
+    cases = {
+        "mit-notice": "The data was gathered by hand over years. Released under the MIT License. Please write to the authors of it.",
+        "gpl3-header": wrap(full["gpl3-header"], 9, "\n") + "\nimport os\n" + "\n".join(f"x{i} = call{i}(y{i})" for i in range(60)),
+        "mit-grant": "Copyright of somebody\r\n\r\n" + wrap(full["mit-grant"], 9, "\r\n") + "\r\n\r\n" + " ".join(f"other{i}" for i in range(120)),
+        "apache-header": full["apache-header"].replace(" http", "\n\n    http").replace("2.0 Unless", "2.0\n\nUnless") + "\n\n" + " ".join(f"code{i}" for i in range(120)),
+    }
+    index = licenses.Index(full)
+    for threshold in (0.6, 0.75, 0.9):
+        texts = [*cases.values(), "", "one", "MIT license", " ".join(cases.values()), full["isc-grant"] * 3, "of this software and the use of this software " * 20]
+        got = [set() for _ in texts]
+        for r in licenses.scan_windows(texts, index, threshold):
+            got[r[0]].add((r[2], r[3]))
+        assert got == [windows_by_counting(x, threshold) for x in texts]
+    for n, x in cases.items():
+        assert n not in {r[3] for r in licenses.scan([x], index, 0.75)} and n in {r[3] for r in licenses.scan_windows([x], index, 0.75)}
+    df = spark.createDataFrame([(1, cases["mit-notice"]), (2, None)], "doc_id long, text string")
+    assert [(r["doc_id"], r["kind"], r["segment"], r["licence"]) for r in licenses.find(df, windows=True).collect()] == [(1, "window", 8, "mit-notice")]
+    assert licenses.find(df).count() == 0
+
+
 @pytest.mark.parametrize("k,n,dim", [(1, 50, 3), (5, 400, 8), (20, 15, 4)])
 def test_top_k_by_all_pairs(spark, k, n, dim):
     rng = np.random.default_rng(n)
