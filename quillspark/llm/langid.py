@@ -8,8 +8,9 @@ Features are relative frequencies of hashed character trigrams, which makes
 every machine's score a mean of per-trigram weights: scoring a text is one
 table lookup per character and machine, over the whole text.
 
-Training uses at most ``max_train`` labelled rows (a documented bound, drawn
-by a hash of the document's id, so the draw doesn't depend on partitioning).
+Training uses about ``max_train`` labelled rows (a documented bound, drawn by a
+hash of the document's id, so the draw doesn't depend on partitioning).  Each
+language has the same quota of them, and all its rows where it has fewer.
 
 Defined results
     null or empty text, text without a letter: rejected, ``lang_pred`` null.
@@ -174,12 +175,25 @@ def fit_rows(texts: list[str], langs: list[str]) -> Machines:
     return m
 
 
+def quota(sizes: list[int], total: int) -> int:
+    """The most rows a language, one at least, so that all languages together have no more than total."""
+    left = total
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return max(1, left // (len(sizes) - k))
+        left -= n
+    return max(sizes, default=1)
+
+
 def fit(docs: DataFrame, max_train: int = MAX_TRAIN) -> Machines:
     """Machines from at most max_train of the rows that have a text and a `lang`."""
     labelled = docs.select("doc_id", "text", "lang").filter("text is not null and lang is not null")
-    n = labelled.select("doc_id").count()
-    if n > max_train:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_train / n * (1 << 30)))
+    sizes = {r[0]: r[1] for r in labelled.groupBy("lang").count().collect()}
+    if sum(sizes.values()) > max_train:
+        most = quota(list(sizes.values()), max_train)
+        rate = F.create_map(*(F.lit(x) for l, n in sizes.items() for x in (l, min(1 << 30, int(most / n * (1 << 30))))))
+        drawn = F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text")))
+        labelled = labelled.filter(F.pmod(drawn, F.lit(1 << 30)) < rate[F.col("lang")])
     rows = labelled.select("text", "lang").limit(2 * max_train).collect()
     return fit_rows([r[0] for r in rows], [r[1] for r in rows])
 

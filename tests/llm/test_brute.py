@@ -230,6 +230,17 @@ def test_language_on_documents_kept_out(spark, table):
     assert all(g[3] for g in m.predict(["продолжение следует вскоре", "これは日本語の文章です", "12345 !!", ""]))
 
 
+def test_rare_languages_are_trained_on(spark):
+    assert langid.quota([2, 500, 500], 52) == 25 and langid.quota([5, 5], 20) == 5 and langid.quota([9] * 10, 3) == 1
+    rows = [(i, f"the house and the tree number {i}", "en") for i in range(500)] + [(500 + i, f"le chat et la maison {i}", "fr") for i in range(500)]
+    rows += [(1000, "talossa on kissa ja koira", "fi"), (1001, "kissa nukkuu talossa", "fi")]
+    rows += [(None, f"der hund und das haus {i}", "de") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = langid.fit(docs, 60)
+    assert {l for x in m.members for l in x} == {"de", "en", "fi", "fr"}
+    assert [g[1] for g in m.predict(["talossa on kissa ja koira", "der hund und das haus 7"])] == ["fi", "de"]
+
+
 # --- 6 -----------------------------------------------------------------------------------------------------
 
 
