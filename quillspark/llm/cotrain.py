@@ -49,6 +49,7 @@ N_TEXT = N_CLASSES * N_CLASSES + 12
 BUCKETS = (8, 4, 8)  # source, language, host
 N_META = 12 + sum(BUCKETS)
 FOLDS = 4  # of the labelled documents, fold 0 calibrates and combines
+_made: dict[str, np.ndarray] = {}
 
 
 # --- features ---------------------------------------------------------------------
@@ -56,7 +57,7 @@ FOLDS = 4  # of the labelled documents, fold 0 calibrates and combines
 
 def _classes() -> np.ndarray:
     """Character class of each code point: lower, upper, other word, digit, space, line feed, clause mark, symbol."""
-    t = K._tables.get("quality")
+    t = _made.get("quality")
     if t is None:
         base = K.tables()
         code = np.arange(K.LIMIT + 1)
@@ -72,7 +73,7 @@ def _classes() -> np.ndarray:
         t[[10, 13]] = 5
         t[[ord(c) for c in ".,;:?'’-"]] = 6
         t[0xDF] = 0  # lower case without a simple upper case
-        K._tables["quality"] = t
+        _made["quality"] = t
     return t
 
 

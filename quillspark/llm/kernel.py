@@ -25,6 +25,7 @@ CHUNK_CHARS = 1 << 17
 KEPT = 1 << 18
 
 _tables: dict[str, np.ndarray] = {}
+_powers: dict[str, np.ndarray] = {}
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -41,7 +42,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def tables() -> dict[str, np.ndarray]:
     """Per-process lookup tables over code points, made once."""
-    if not _tables:
+    if "word" not in _tables:
         surrogate = lambda c: 0xD800 <= c <= 0xDFFF
         every = [" " if surrogate(c) else chr(c) for c in range(LIMIT)]
         low = np.fromiter((ord(l) if len(l := c.lower()) == 1 else ord(c) for c in every), np.uint32, LIMIT)
@@ -54,9 +55,9 @@ def tables() -> dict[str, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i modulo 2**64 for i < n; kept for the process only up to KEPT, which nearly all texts are under."""
-    have = _tables.get("pw")
+    have = _powers.get("pw")
     if have is not None and len(have) >= n:
-        return have, _tables["ipw"]
+        return have, _powers["ipw"]
     m = max(KEPT, 1 << int(n - 1).bit_length())
     made = []
     for base in (_BASE, _BASE_INV):
@@ -69,7 +70,7 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
             done *= 2
         made.append(out)
     if m == KEPT:
-        _tables["pw"], _tables["ipw"] = made
+        _powers["pw"], _powers["ipw"] = made
     return made[0], made[1]
 
 

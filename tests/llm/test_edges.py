@@ -143,3 +143,18 @@ def test_every_stage_keeps_the_columns(spark, docs, tables):
             assert out.columns == docs.columns, name
             assert out.count() <= some.count(), name
     assert corpus_pipeline.STAGES[-1][1](spark, docs, tables).count() == len(ROWS)
+
+
+def test_operators_share_a_worker(spark, docs, tables):
+    """All operators one after the other in one task each, SentencePiece first: none may spoil what another keeps in the worker."""
+    from quillspark.llm import kernel
+
+    kernel._tables.clear(), kernel._powers.clear()
+    kernel.powers(10)
+    assert len(kernel.Words(["a b"]).hash) == 2
+    one, few = docs.coalesce(1), lambda n: read(spark, tables, n).coalesce(1)
+    for _ in range(2):
+        assert spiece.encode(one).count() == len(ROWS)
+        decontam.leaks(one, few("benchmark")).count(), licenses.find(one, windows=True).count(), tokenstore.pack(one).count()
+        cotrain.score(one, few("pages"), few("labels")).count(), toxicity.score(one, few("labels")).count(), neardup.duplicates(one).count()
+        maskedlm.score(one).count(), langid.identify(one).count()
