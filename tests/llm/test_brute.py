@@ -143,20 +143,68 @@ def test_licences_wherever_they_stand(spark):
     assert licenses.find(df).count() == 0
 
 
+def tree_holds(t):
+    """Every node covers all that is below it, and every stored distance is that to the node above."""
+    below = {k: list(range(t.first[k], t.last[k])) for k in t.leaves}
+    for k in reversed(range(len(t.leaf))):
+        if not t.leaf[k]:
+            below[k] = [e for c in range(t.first[k], t.last[k]) for e in below[c]]
+            assert all(t.above[c] == k and np.isclose(t.to_parent[c], np.linalg.norm(t.routing[c] - t.routing[k])) for c in range(t.first[k], t.last[k]))
+        d = np.linalg.norm(t.vectors[below[k]] - t.routing[k], axis=1)
+        assert d.max() <= t.radius[k] + 1e-5
+        if t.leaf[k]:
+            assert np.allclose(d, t.parent[below[k]], atol=1e-5)
+    assert sorted(below[0]) == list(range(len(t.ids)))
+
+
+def test_tree_has_inner_nodes_with_radii_and_parent_distances():
+    rng = np.random.default_rng(4)
+    v = rng.normal(0, 0.1, (3000, 5)) + 8 * rng.integers(0, 6, (3000, 1))
+    t = mtree.build(np.arange(3000), v, 16, 4)
+    tree_holds(t)
+    assert mtree.depths(t).max() >= 3 and max(t.last[t.leaves] - t.first[t.leaves]) <= 16
+    same = mtree.build(np.arange(500), np.ones((500, 3)), 16, 4)  # equal vectors
+    tree_holds(same)
+    assert max(same.last[same.leaves] - same.first[same.leaves]) <= 16
+
+
+def test_search_skips_most_of_clustered_vectors(monkeypatch):
+    rng = np.random.default_rng(5)
+    v = rng.normal(0, 0.05, (4000, 6)) + 10 * rng.normal(size=(40, 6))[rng.integers(0, 40, 4000)]
+    t, done, plain = mtree.build(np.arange(4000), v, 32, 8), [0], mtree.distances
+
+    def counted(a, b):
+        done[0] += len(a) * len(b)
+        return plain(a, b)
+
+    monkeypatch.setattr(mtree, "distances", counted)
+    ids, d = mtree.search(t, np.arange(50), v[:50], 5)
+    want = [sorted((round(float(np.sqrt(((v[i] - v[j]) ** 2).sum())), 9), j) for j in range(4000) if j != i)[:5] for i in range(50)]
+    assert [list(zip(x.tolist(), y.tolist())) for x, y in zip(d, ids)] == want
+    assert done[0] < 0.15 * 50 * 4000
+
+
 @pytest.mark.parametrize("k,n,dim", [(1, 50, 3), (5, 400, 8), (20, 15, 4)])
 def test_top_k_by_all_pairs(spark, k, n, dim):
     rng = np.random.default_rng(n)
     v = np.round(rng.normal(0, 1, (n, dim)) + 5 * rng.integers(0, 4, (n, 1)), 2)
     v[n // 2] = v[0]
-    got = mtree.top_k(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>"), k).collect()
+    df = spark.createDataFrame([(i - 7, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
     d = np.round(np.sqrt(((v[:, None] - v[None]) ** 2).sum(2)), 9)
-    want = {(i, r): j for i in range(n) for r, j in enumerate(sorted((j for j in range(n) if j != i), key=lambda j: (d[i, j], j))[:k], 1)}
-    assert {(r["vec_id"], r["rank"]): r["neighbour"] for r in got} == want
+    for every in (1, 3):
+        got = mtree.top_k(df, k, every).collect()
+        want = {(i - 7, r): j - 7 for i in range(n) if (i - 7) % every == 0 for r, j in enumerate(sorted((j for j in range(n) if j != i), key=lambda j: (d[i, j], j))[:k], 1)}
+        assert {(r["vec_id"], r["rank"]): r["neighbour"] for r in got} == want
 
 
-def test_top_k_over_many_subtrees(spark, monkeypatch):
-    monkeypatch.setattr(mtree, "SUBTREE", 40)
+def test_top_k_over_many_cells_and_parts(spark, monkeypatch):
+    for name, value in (("PART", 40), ("PAGE", 8), ("FAN", 3), ("BLOCK", 30), ("SAMPLE", 200)):
+        monkeypatch.setattr(mtree, name, value)
     test_top_k_by_all_pairs(spark, 4, 500, 6)
+    hot = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(300)] + [(i, [float(i), 0.0]) for i in range(300, 320)], "vec_id long, embedding array<double>")
+    got = mtree.top_k(hot, 3).collect()  # most vectors are one and the same
+    assert {(r["vec_id"], r["rank"]): (r["neighbour"], r["distance"]) for r in got if r["vec_id"] == 100} == {(100, r): (r - 1, 0.0) for r in (1, 2, 3)}
+    assert len(got) == 7 * 3
 
 
 # --- 3 -------------------------------------------------------------------------------------------------

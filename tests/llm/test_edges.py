@@ -88,7 +88,7 @@ def test_top_k(spark):
     df = spark.createDataFrame(
         [(1, [0.0, 0.0]), (2, [0.0, 0.0]), (3, [3.0, 4.0]), (3, [3.0, 4.0]), (4, None), (5, [float("nan"), 1.0]), (6, [1.0, None]), (7, [1.0, 2.0, 3.0]), (8, []), (None, [1.0, 1.0])], "vec_id long, embedding array<float>"
     ).withColumn("v", F.lit(1))
-    got = {(r["vec_id"], r["rank"]): (r["neighbour"], r["distance"]) for r in rows(mtree.top_k(df, 2))}
+    got = {(r["vec_id"], r["rank"]): (r["neighbour"], r["distance"]) for r in rows(mtree.top_k(df, 2, 1))}
     assert got == {(1, 1): (2, 0.0), (1, 2): (3, 5.0), (2, 1): (1, 0.0), (2, 2): (3, 5.0), (3, 1): (1, 5.0), (3, 2): (2, 5.0)}
     assert mtree.top_k(df.limit(0)).count() == 0
 
