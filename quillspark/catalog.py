@@ -191,17 +191,27 @@ def fix_texts(documents):
     return documents.select("doc_id", fixed.alias("f")).select("doc_id", F.md5(F.encode("f", "UTF-8")).alias("fixed"), F.length("f").alias("chars"))
 
 
-@query()
+@query(S.fixed_counts())
 def fix_rule_counts(documents):
     counted = rules.fix_texts(_damaged(documents))
     return counted.groupBy("source").agg(*[F.sum(r.name).alias(r.name) for r in rules.text_rules()])
 
 
-@query()
+def _fixed(pages: DataFrame, pairs: list[tuple[str, str]], **options) -> DataFrame:
+    done = rules.fix_documents(pages.select("page_id", damage.damaged("html", pairs).alias("html")), **options)
+    return done.select("page_id", "status", F.md5(F.encode("fixed", "UTF-8")).alias("fixed"), *rules.COUNTED)
+
+
+@query(S.fixed_pages(damage.MARKUP, T.NBSP, wordlist=True, mojibake=True))
 def fix_documents(pages):
-    html = F.replace(F.replace(F.col("html"), F.lit("<p>A"), F.lit("<p>- l'A")), F.lit(" of "), F.lit(" coeur! "))
-    fixed = rules.fix_documents(pages.select("page_id", html.alias("html")), mojibake=True)
-    return fixed.select("page_id", "status", F.md5(F.encode("fixed", "UTF-8")).alias("fixed"), *rules.COUNTED)
+    return _fixed(pages, damage.MARKUP, style="nbsp", a_grave="wordlist", mojibake=True)
+
+
+@query(S.fixed_pages(damage.CAPITAL_A, T.NNBSP, decided=True))
+def fix_decisions(pages):
+    """Every second isolated A of a page approved, more than it may have."""
+    chosen = pages.select("page_id", F.explode(F.sequence(F.lit(0), F.length("html"), F.lit(2))).alias("idx"))
+    return _fixed(pages, damage.CAPITAL_A, decisions=chosen, key=["page_id"])
 
 
 # --- candidates, windows, samples ------------------------------------------------------------------------------

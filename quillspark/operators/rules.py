@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
+import html
 import re
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType
 
 from quillspark.functions import text as T
 
@@ -120,33 +119,6 @@ def repair(text: str) -> str:
     return text
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def repaired(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda a: None if a is None else [repair(t) if t is not None else None for t in a])
-
-
-@F.pandas_udf(ArrayType(StringType()))
-def accented(texts: pd.Series, approved: pd.Series) -> pd.Series:
-    """The texts with À for the approved ones of their isolated A, counted through all of them."""
-    candidate = re.compile(f"\\bA(?= [{T.LOWER}])")
-
-    def one(parts, chosen):
-        if parts is None or chosen is None:
-            return parts
-        chosen, n, out = set(chosen), -1, []
-
-        def pick(m):
-            nonlocal n
-            n += 1
-            return "À" if n in chosen else "A"
-
-        for t in parts:
-            out.append(candidate.sub(pick, t))
-        return out
-
-    return pd.Series([one(p, c) for p, c in zip(texts, approved)])
-
-
 # --- the guard -------------------------------------------------------------------------------
 
 _FOLD_FROM = "’—–" + T.NBSP + T.NNBSP + T.THIN + "ÉÈÊÀ"
@@ -186,22 +158,87 @@ def validation(original: T.Text, fixed: T.Text, repaired_text: T.Text | None = N
 COUNTED = ["R1_apostrophes", "R2_ligatures", "R3_dialogues", "R4_insecables", "R5_ellipsis", "R6_a_grave_llm", "R6_capitales", "R7_mojibake"]
 
 
-def _on_plain(segs: Column, f) -> Column:
-    """Segments with the text of the plain ones changed."""
-    return F.transform(segs, lambda s: F.struct(F.when(s["kind"] == T.PLAIN, f(s)).otherwise(s["text"]).alias("text"), s["kind"].alias("kind"), s["para"].alias("para")))
+OUTCOME = "fixed string, status string, problem string, " + ", ".join(f"{n} long" for n in COUNTED)
+_A = re.compile(f"\\bA(?= [{T.LOWER}])")
+_UNSEEN = re.compile(r"(?is)<(script|style)\b.*?</\1>")
+_TAG = re.compile(T.TAG)
+_FOLD = str.maketrans(_FOLD_FROM, _FOLD_TO)
+_NORMAL = [(re.compile("[ \t]*([!?;:»])"), r"\1"), (re.compile("«[ \t]*"), "«"), (re.compile(r"\s+"), " ")]
 
 
-def _total(segs: Column, f) -> Column:
-    return F.aggregate(F.transform(segs, lambda s: F.when(s["kind"] == T.PLAIN, f(s)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
+def _compiled(rule: Rule) -> list[tuple[re.Pattern, str]]:
+    """The rule's steps for Python, whose classes are Unicode ones by default."""
+    return [(re.compile(p.replace("(?U)", "")), re.sub(r"\$(\d)", r"\\\1", by)) for p, by in rule.steps]
 
 
-def _through(df: DataFrame, udf, *more: str) -> DataFrame:
-    """Segments with their plain texts sent through an Arrow function of all of them; __changed is how many came back changed."""
-    df = df.withColumn("__t", F.transform("__s", lambda s: F.when(s["kind"] == T.PLAIN, s["text"]).otherwise("")))
-    df = df.withColumn("__u", udf("__t", *more))
-    df = df.withColumn("__changed", F.size(F.filter(F.arrays_zip("__t", "__u"), lambda p: p["__t"] != p["__u"])).cast("long"))
-    zipped = F.zip_with("__s", "__u", lambda s, u: F.struct(F.when(s["kind"] == T.PLAIN, u).otherwise(s["text"]).alias("text"), s["kind"].alias("kind"), s["para"].alias("para")))
-    return df.withColumn("__s", zipped).drop("__t", "__u")
+def _normal(markup: str, fold_oe: bool) -> str:
+    t = html.unescape(_TAG.sub("\0", _UNSEEN.sub("", markup))).translate(_FOLD)
+    t = t.replace("œ", "oe").replace("Œ", "OE").replace("…", "...")
+    if fold_oe:
+        t = t.replace("Oe", "OE")
+    for pattern, by in _NORMAL:
+        t = pattern.sub(by, t)
+    return t.strip()
+
+
+@dataclass
+class Fixer:
+    """All rules on one document at a time, each pattern run once over each plain segment."""
+
+    style: str
+    a_grave: str
+    mojibake: bool
+    fold_oe: bool
+
+    def __post_init__(self) -> None:
+        self.rules = [(r.name, _compiled(r)) for r in text_rules(self.style, self.a_grave)]
+        ((self.dash, self.dash_by),) = _compiled(DIALOGUES)
+
+    def fix(self, markup: str | None, approved: list[int] | None = None) -> tuple:
+        """(fixed, status, problem, the counts of COUNTED)."""
+        n = dict.fromkeys(COUNTED, 0)
+        if markup is None:
+            return None, None, None, *n.values()
+        chosen, seen = frozenset(() if approved is None else approved), 0
+        out = []
+
+        def grave(_: re.Match) -> str:
+            nonlocal seen
+            seen += 1
+            return "À" if seen - 1 in chosen else "A"
+
+        for t, kind, para in T.split_segments(markup):
+            if kind != T.PLAIN:
+                out.append(t)
+                continue
+            if para:
+                t, k = self.dash.subn(self.dash_by, t)
+                n["R3_dialogues"] += k
+            if chosen:
+                t = _A.sub(grave, t)
+            if self.mojibake:
+                better = repair(t)
+                n["R7_mojibake"] += better != t
+                t = better
+            for name, steps in self.rules:
+                for pattern, by in steps:
+                    t, k = pattern.subn(by, t)
+                    n[name] += k
+            out.append(html.escape(t, quote=False))
+        n["R6_a_grave_llm"] = sum(0 <= i < seen for i in chosen)
+        new = "".join(out)
+        if new == markup:
+            return markup, "unchanged", None, *n.values()
+        problem = self.problem(markup, new, n["R7_mojibake"] > 0)
+        return (new, "changed", None, *n.values()) if problem is None else (markup, "rejected", problem, *[0] * len(n))
+
+    def problem(self, old: str, new: str, repaired: bool) -> str | None:
+        """What is wrong with a change; the text isn't compared where a repair changed it."""
+        a, b = _TAG.findall(old), _TAG.findall(new)
+        if a != b:
+            return f"séquence de balises modifiée (longueur {len(a)} → {len(b)})"
+        a, b = ("", "") if repaired else (_normal(old, self.fold_oe), _normal(new, self.fold_oe))
+        return None if a == b else f"texte modifié hors règles (longueur {len(a)} → {len(b)})"
 
 
 def fix_documents(
@@ -209,31 +246,22 @@ def fix_documents(
 ) -> DataFrame:
     """docs with fixed (the markup after all rules that passed the guard), status (unchanged, changed, rejected), problem, and a count for each rule.
 
-    decisions: the columns of key and idx, the approved isolated A of each document."""
-    df = docs.withColumn("__s", T.segments(F.col(markup)))
-    zero = F.lit(0).cast("long")
-    start = lambda s, yes, no: F.when(s["para"], yes(s["text"])).otherwise(no(s["text"]))
-    df = df.withColumn("R3_dialogues", _total(F.col("__s"), lambda s: start(s, DIALOGUES.count, lambda t: zero)))
-    df = df.withColumn("__s", _on_plain(F.col("__s"), lambda s: start(s, DIALOGUES.apply, lambda t: t)))
-    df = df.withColumn("R6_a_grave_llm", zero)
+    decisions: the columns of key and idx, the approved isolated A of each document.
+    A null document stays null, with a null status.  Columns of docs that are named like one of these are replaced.
+    Each document goes through Python once, in Arrow batches: its segments need a state, and native functions over
+    arrays of segments would run each pattern three times without generated code."""
+    fixer = Fixer(style, a_grave, mojibake, fold_oe)
+    df, carried = docs, [c for c in docs.columns if c not in ("fixed", "status", "problem", *COUNTED)]
+    idx = F.lit(None).cast("array<int>")
     if decisions is not None:
         chosen = decisions.groupBy(*key).agg(F.sort_array(F.collect_set(F.col("idx").cast("int"))).alias("__idx"))
-        df = df.join(chosen, key, "left").withColumn("__a", _total(F.col("__s"), lambda s: T.count_re(s["text"], A_CANDIDATE)))
-        df = _through(df, accented, "__idx")
-        df = df.withColumn("R6_a_grave_llm", F.coalesce(F.size(F.filter("__idx", lambda i: (i >= 0) & (i < F.col("__a")))).cast("long"), zero)).drop("__changed", "__idx", "__a")
-    df = df.withColumn("R7_mojibake", zero)
-    if mojibake:
-        df = _through(df, repaired)
-        df = df.withColumn("R7_mojibake", F.col("__changed")).drop("__changed")
-    for rule in text_rules(style, a_grave):
-        df = df.withColumn(rule.name, _total(F.col("__s"), lambda s, r=rule: r.count(s["text"])))
-        df = df.withColumn("__s", _on_plain(F.col("__s"), lambda s, r=rule: r.apply(s["text"])))
-    df = df.withColumn("__new", T.rebuilt("__s")).drop("__s")
-    df = df.withColumn("problem", F.when(F.col("__new") != F.col(markup), validation(markup, "__new", F.col("R7_mojibake") > 0, fold_oe)))
-    ok = F.col("problem").isNull()
-    status = F.when(~ok, "rejected").when(F.col("__new") == F.col(markup), "unchanged").otherwise("changed")
-    kept = [F.when(ok, F.col(n)).otherwise(zero).alias(n) for n in COUNTED]
-    return df.select(*docs.columns, F.when(ok, F.col("__new")).otherwise(F.col(markup)).alias("fixed"), status.alias("status"), "problem", *kept)
+        df, idx = df.join(chosen, key, "left"), F.col("__idx")
+
+    @F.pandas_udf(OUTCOME)
+    def fixed(texts: pd.Series, approved: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([fixer.fix(t, a) for t, a in zip(texts, approved)], columns=["fixed", "status", "problem", *COUNTED])
+
+    return df.select(*carried, fixed(F.col(markup), idx).alias("__f")).select(*carried, "__f.*")
 
 
 def fix_texts(docs: DataFrame, text: str = "text", style: str = "fine", a_grave: str = "off") -> DataFrame:

@@ -155,29 +155,97 @@ def _between(pattern: str, by: str, t: str) -> str:
     return once(once(t))
 
 
-def fixed_text(t: str = "t", sp: str = T.NNBSP) -> str:
-    def put(pattern: str, by: str) -> None:
-        nonlocal t
-        t = f"regexp_replace({t}, {quoted(pattern)}, {quoted(by)}, 'g')"
-
-    edge = rf"(^|[^{W}])"
-    end = rf"([^{W}]|$)"
-    t = _between(f"([{L}])'([{L}])", "\\1’\\2", t)
+def rule_steps(sp: str = T.NNBSP, wordlist: bool = False) -> dict:
+    """By rule: SQL of a text to SQL of the text after it, and the characters whose number grows by one with each match."""
+    edge, end = rf"(^|[^{W}])", rf"([^{W}]|$)"
     tail = rules._OE_TAIL.removeprefix("(").removesuffix(r")\b").replace(r"\w", f"[{W}]")
     head = "([cC]h?|[mM]an|[bBmMnNsSvV]|)"
-    t = _between(f"{edge}{head}oe({tail}){end}", "\\1\\2œ\\3\\4", t)
-    t = _between(f"{edge}{head}O[eE]({tail}){end}", "\\1\\2Œ\\3\\4", t)
-    t = _between(r"(^|[^.])\.\.\.([^.]|$)", "\\1…\\2", t)
-    t = _between(f"{edge}E({'|'.join(rules.ACUTE)}){end}", "\\1É\\2\\3", t).replace("(?:z)", "z")
-    for a, b in (("E(tre|tes)", "Ê\\2"), ("(Ete)", "Été"), ("(Epee)", "Épée")):
-        t = _between(f"{edge}{a}{end}", f"\\1{b}\\3", t)
-    t = _between(f"{edge}Evenement(s?){end}", "\\1Événement\\2\\3", t)
-    put("[ \\x{2009}]+([!?;:»])", f"{sp}\\1")
-    put(f"([{L}0-9)»…’])([!?;])", f"\\1{sp}\\2")
-    put(f"([{L})»])(:[{BLANK}])", f"\\1{sp}\\2")
-    put("«[ \\x{2009}]+", f"«{sp}")
-    put(f"«([^{BLANK}])", f"«{sp}\\1")
-    return _between(f"([^«{BLANK}])»", f"\\1{sp}»", t)
+
+    def ligatures(t: str) -> str:
+        t = _between(f"{edge}{head}oe({tail}){end}", "\\1\\2œ\\3\\4", t)
+        return _between(f"{edge}{head}O[eE]({tail}){end}", "\\1\\2Œ\\3\\4", t)
+
+    def capitals(t: str) -> str:
+        t = _between(f"{edge}E({'|'.join(rules.ACUTE).replace('(?:z)', 'z')}){end}", "\\1É\\2\\3", t)
+        for a, b in (("E(tre|tes)", "Ê\\2"), ("(Ete)", "Été"), ("(Epee)", "Épée")):
+            t = _between(f"{edge}{a}{end}", f"\\1{b}\\3", t)
+        t = _between(f"{edge}Evenement(s?){end}", "\\1Événement\\2\\3", t)
+        words = rules.A_BEFORE.replace("~", "§").replace(" ", "|").replace("§", " ")
+        return _between(f"{edge}A( (?:{words})){end}", "\\1À\\2\\3", t) if wordlist else t
+
+    def spaces(t: str) -> str:
+        for pattern, by in (
+            ("[ \\x{2009}]+([!?;:»])", f"{sp}\\1"),
+            (f"([{L}0-9)»…’])([!?;])", f"\\1{sp}\\2"),
+            (f"([{L})»])(:[{BLANK}])", f"\\1{sp}\\2"),
+            ("«[ \\x{2009}]+", f"«{sp}"),
+            (f"«([^{BLANK}])", f"«{sp}\\1"),
+        ):
+            t = removed(t, pattern, by)
+        return _between(f"([^«{BLANK}])»", f"\\1{sp}»", t)
+
+    return {
+        "R1_apostrophes": (lambda t: _between(f"([{L}])'([{L}])", "\\1’\\2", t), "’"),
+        "R2_ligatures": (ligatures, "œŒ"),
+        "R5_ellipsis": (lambda t: _between(r"(^|[^.])\.\.\.([^.]|$)", "\\1…\\2", t), "…"),
+        "R6_capitales": (capitals, "ÉÊÀ"),
+        "R4_insecables": (spaces, sp),
+    }
+
+
+def fixed_text(t: str = "t", sp: str = T.NNBSP) -> str:
+    for step, _ in rule_steps(sp).values():
+        t = step(t)
+    return t
+
+
+def counted_rules(rows: str, keep: str, sp: str = T.NNBSP, wordlist: bool = False) -> tuple[str, str]:
+    """(common table expressions that take the text t of the rows through the rules, name of the last: keep, t and a count for each rule)."""
+    out, at = [], rows
+    for k, (name, (step, marks)) in enumerate(rule_steps(sp, wordlist).items()):
+        grown = " + ".join(f"{chars(c, 'n')} - {chars(c)}" for c in marks)
+        earlier = "".join(f", {n}" for n in list(rule_steps())[:k])
+        out.append(f"q{k} as (select {keep}, t, {step('t')} as n{earlier} from {at}), r{k} as (select {keep}, n as t{earlier}, ({grown})::bigint as {name} from q{k})")
+        at = f"r{k}"
+    return ", ".join(out), at
+
+
+def fixed_pages(pairs: list[tuple[str, str]], sp: str, wordlist: bool = False, mojibake: bool = False, decided: bool = False) -> str:
+    """page_id, status, fixed (md5) and the counts of the rules over pages with damage; decided: every second isolated A of a page is approved."""
+    inline = among([*T.INLINE, "br"])
+    oe = rules._OE_TAIL.removeprefix("(").removesuffix(r")\b").replace(r"\w", f"[{W}]")
+    refused = rf"(?:^|[^{W}])(?:[cC]h?|[mM]an|[bBmMnNsSvV]|)Oe(?:{oe})(?:[^{W}]|$)|(?:^|[^{W}])(?:Ete|Epee|Evenements?)(?:[^{W}]|$)"
+    rest = "replace(replace(t, 'Ã©', ''), 'Ã\u00a0', '')"
+    better = f"case when t ~ 'Ã' and regexp_full_match({rest}, '[\\x00-\\x7F]*') then replace(replace(t, 'Ã©', 'é'), 'Ã\u00a0', 'à') else t end" if mojibake else "t"
+    alone = f"l[{{i}}] = 'A' and l[{{i}} + 1] = ' ' and regexp_matches(coalesce(l[{{i}} + 2], ''), '^{LOW}')"
+    picked = f"case when {alone.format(i='i')} and (base + len(list_filter(range(1, i), lambda j: {alone.format(i='j')}))) % 2 = 0 then 'À' else l[i] end"
+    chosen = f"array_to_string(list_transform(range(1, len(l) + 1), lambda i: {picked}), '')" if decided else "t"
+    ctes, last = counted_rules("v", "page_id, ord, fragment, plain, c3, ca, c7, odd", sp, wordlist)
+    counts = ["R1_apostrophes", "R2_ligatures", "R4_insecables", "R5_ellipsis", "R6_capitales"]
+    return f"""
+with g as (select page_id, {damaged_sql('html', pairs)} as html from pages), {fragment_rows().replace('from pages', 'from g')},
+e as (select *, fragment like '<!--%' as remark, fragment like '</%' as closing, not is_tag and not in_skip as plain from f),
+h as (select *, case when is_tag and not remark and closing and name = 'p' then false when is_tag and not remark and not closing and name = 'p' then true
+  when is_tag and not remark and not closing and name not in {inline} then false when plain and {stripped('fragment')} <> '' then false end as event from e),
+p as (select *, coalesce(last_value(event ignore nulls) over (partition by page_id order by ord rows between unbounded preceding and 1 preceding), false) and plain as para, case when plain then {unescaped('fragment')} end as t0 from h),
+s as (select *, case when para then regexp_replace(t0, '^([{BLANK}]*)-[ {T.NBSP}{T.NNBSP}{T.THIN}]+', '\\1—\u00a0') else t0 end as t from p),
+a as (select *, {parts()} as l, (t <> t0)::int as c3 from s),
+b as (select *, {at(alone.format(i='i'))} as alone from a),
+c as (select *, coalesce(sum(alone) over (partition by page_id order by ord rows between unbounded preceding and 1 preceding), 0)::bigint as base from b),
+d as (select page_id, ord, fragment, plain, c3, base, alone, {chosen} as t from c),
+u as (select *, {better} as better from d),
+v as (select page_id, ord, fragment, plain, c3, {"(base + alone + 1) // 2 - (base + 1) // 2" if decided else "0"} as ca, (better <> t)::int as c7, regexp_matches(better, {quoted(refused)}) as odd, better as t from u),
+{ctes},
+w as (select page_id, string_agg(case when plain then replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') else fragment end, '' order by ord) as new, coalesce(bool_or(odd), false) and coalesce(sum(c7), 0) = 0 as bad,
+  {', '.join(f"coalesce(sum({n_}), 0)::bigint as {n_}" for n_ in counts)}, coalesce(sum(c3), 0)::bigint as R3_dialogues, coalesce(sum(ca), 0)::bigint as R6_a_grave_llm, coalesce(sum(c7), 0)::bigint as R7_mojibake from {last} group by page_id)
+select page_id, case when bad then 'rejected' when new = html then 'unchanged' else 'changed' end as status, md5(case when bad then html else new end) as fixed,
+  {', '.join(f"case when bad then 0 else {n_} end::bigint as {n_}" for n_ in (*counts, 'R3_dialogues', 'R6_a_grave_llm', 'R7_mojibake'))} from w join g using (page_id)"""
+
+
+def fixed_counts() -> str:
+    """source and the totals of the text rules over damaged documents."""
+    ctes, last = counted_rules("v", "source")
+    return f"with v as (select source, {damaged_sql()} as t from documents), {ctes} select source, {', '.join(f'sum({r})::bigint as {r}' for r in rule_steps())} from {last} group by source"
 
 
 ENTITIES = [("&quot;", '"'), ("&copy;", "©"), ("&middot;", "·"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&")]
