@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillspark.functions import damage, state
@@ -82,10 +82,24 @@ def class_counts(documents):
     return score.class_counts(_classified(documents))
 
 
-@query()
+def _heads(defects: Column) -> Column:
+    return F.array_join(F.transform(defects, lambda d: F.left(d, F.lit(12))), "|")
+
+
+@query(f"select cls as classe, score, ('0x' || substring(md5(source || '-' || lang), 1, 8))::bigint as id, source || '-' || lang as titre, '' as auteurs, '' as lecteurs, heads as defauts from ({S.scored(S.record_defaults(S.counters_by_book(), 'lang'), 'source, lang')})")
 def ranking_report(documents):
-    named = _classified(documents).withColumn("id", F.xxhash64(*BOOK)).withColumn("title", F.concat_ws("-", *BOOK)).withColumn("authors", F.lit("")).withColumn("readers", F.lit(""))
-    return sink.ranking_csv(named)
+    """The report's columns; of each defect the first 12 characters, as decimals are rounded differently in SQL."""
+    title = F.concat_ws("-", *BOOK)
+    named = _classified(documents).withColumn("id", F.conv(F.substring(F.md5(title), 1, 8), 16, 10).cast("long")).withColumn("title", title)
+    named = named.withColumn("authors", F.lit(None).cast("string")).withColumn("readers", F.lit(""))
+    return sink.ranking_csv(named).withColumn("defauts", _heads(F.split("defauts", r" \| ")))
+
+
+@query(S.scored(S.grid_rows(), "k"))
+def score_rules(orders):
+    """Each rule and class of the score on both sides of its threshold, from made-up audit records."""
+    rows = orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("c")).select("k", *[F.expr(e).alias(n) for n, e in S.GRID.items()])
+    return score.classify(rows).select("k", "cls", "score", F.size("defects").alias("n_defects"), _heads(F.col("defects")).alias("heads"))
 
 
 # --- markup ------------------------------------------------------------------------------------------
@@ -217,23 +231,24 @@ def fix_decisions(pages):
 # --- candidates, windows, samples ------------------------------------------------------------------------------
 
 
-@query(
-    rf"""with {S.damaged_parts()},
+_CANDIDATES = rf"""with {S.damaged_parts()},
 c as (select doc_id, t, list_sum(list_transform(l[:i - 1], lambda x: length(x))) as before, i from (select doc_id, t, l, unnest(list_filter(range(1, len(l) + 1), lambda i: l[i] = 'A' and l[i + 1] = ' ' and regexp_matches(l[i + 2], '^{S.LOW}'))) as i from d)),
 p as (select doc_id, t, coalesce(before, 0)::int as b, row_number() over (partition by doc_id order by i)::int - 1 as idx from c)
 select doc_id, idx::int as idx, regexp_replace(substring(t, greatest(b - 59, 1), least(b, 60)), '^[{S.BLANK}]+', '') as avant, regexp_replace(substring(t, b + 1, 70), '[{S.BLANK}]+$', '') as apres from p"""
-)
+
+
+@query(_CANDIDATES)
 def a_candidates(documents):
     return corpus.candidates(_damaged(documents), ["doc_id"])
 
 
-@query()
+@query(f"select * from ({_CANDIDATES}) where idx % 2 = 0")
 def a_decisions(documents):
     found = corpus.candidates(_damaged(documents), ["doc_id"])
     return corpus.approved(found, found.select("doc_id", "idx", (F.col("idx") % 2 == 0).alias("accentuer")), ["doc_id"])
 
 
-@query()
+@query(S.windows(**CUT))
 def windows(documents):
     return corpus.windows(documents, ["doc_id"], **CUT)
 
@@ -295,11 +310,37 @@ def correction_budgets(documents):
     return apply.budgets(documents, _proposals(documents), ["source"], "text")
 
 
-@query()
+def _requests(documents: DataFrame) -> DataFrame:
+    """Corrections of every kind that the applier tells apart, all over the text; each document is a book."""
+    x = documents.filter("text is not null").select(F.col("doc_id").alias("book"), F.replace("text", F.lit(" e"), F.lit(f"{T.NBSP}e")).alias("t"), F.length("text").alias("n"))
+    spot = lambda at, n: F.expr(f"substring(t, cast({at} as int), {n})")
+    half, plain = spot("n div 2", 23), F.replace(spot("3 * n div 4", 20), F.lit(T.NBSP), F.lit(" "))
+    made = [
+        (spot("n div 2", 24), F.concat(half, F.lit("é"))), (F.concat(half, F.lit("é")), F.concat(half, F.lit("ée"))), (F.lit("zzzzzzzz absent"), F.lit("zzzzzzzz absents")),
+        (spot("n div 3", 5), F.lit("autre")), (spot("n div 4", 20), F.repeat(F.lit("long "), F.lit(9))), (spot("n div 5", 30), spot("n div 5", 12)), (plain, F.concat(plain, F.lit("s"))),
+    ]
+    one = lambda doc, k, a, b: F.struct(F.lit(doc).alias("doc"), F.lit(k).cast("long").alias("ord"), a.alias("chercher"), b.alias("remplacer"))
+    first = F.array(*[one("d", k, a, b) for k, (a, b) in enumerate(made)], one("absent", 99, F.lit("zzzz orphan"), F.lit("zzzz orphans")))
+    more = F.array(*[one("d", k, F.lit(f"zzzz {k}"), F.lit("zzzz s")) for k in range(7, 7 + S.FILLERS)])
+    rows = x.filter("n > 120").select("book", F.inline(F.when(F.col("n") > 3000, F.concat(first, more)).otherwise(first)))
+    return rows.select("*", F.lit("essai").alias("raison"), F.lit("lecture-1").alias("source"))
+
+
+def _marked_up(documents: DataFrame) -> DataFrame:
+    t = T.escape(F.replace("text", F.lit(" e"), F.lit(f"{T.NBSP}e")))
+    return documents.filter("text is not null").select(F.col("doc_id").alias("book"), F.lit("d").alias("doc"), F.concat(F.lit("<p>"), t, F.lit("</p>")).alias("html"))
+
+
+@query(S.outcomes())
 def apply_corrections(documents):
-    docs = documents.select(F.col("source").alias("book"), F.col("doc_id").cast("string").alias("doc"), F.col("text").alias("html"))
-    asked = _proposals(documents).select(F.col("source").alias("book"), "doc", "ord", "chercher", "remplacer", "raison", F.col("source_").alias("source"))
-    return apply.apply_corrections(docs, asked, ["book"], percent=100.0).outcomes.select("book", "doc", "ord", "status", "reason", "actual")
+    done = apply.apply_corrections(_marked_up(documents), _requests(documents), ["book"]).outcomes
+    return done.select("book", "doc", F.col("ord").cast("int").alias("ord"), "status", F.element_at(F.split("reason", r" \("), 1).alias("reason"), "actual")
+
+
+@query(f"{S.applied()} select book, md5(fixed) as fixed from z")
+def corrected_documents(documents):
+    done = apply.apply_corrections(_marked_up(documents), _requests(documents), ["book"]).docs
+    return done.select("book", F.md5(F.encode("fixed", "UTF-8")).alias("fixed"))
 
 
 @query(f"select source, doc, ord from ({_PROPOSALS}) where doc not in (select doc_id::varchar from labels)")

@@ -111,6 +111,132 @@ select source, lang, case when chars < 2000 then 'ERR' when s >= 60 then 'A' whe
   case when chars < 2000 then 900.0::double else round(s, 1) end as score, (case when chars < 2000 then 1 else nd end)::int as n_defects from s"""
 
 
+def scored(rows: str, keys: str) -> str:
+    """keys, cls, score, n_defects and heads (the first 12 characters of each defect) of audit records with all their fields."""
+    french = lambda head: f"fr and {head}"
+    rules_ = [
+        ("not fr", "0", "'langue ' || lang_ || ' — critères FR non appliqués'"),
+        (french("chars > 30000 and apos * 10000.0::double / chars < 12"), "120", "'élisions quasi absentes'"),
+        ("mojibake >= 5 and mr > 0.05", "100 + mr * 10", "'mojibake ×' || mojibake || ' (encodage double-décodé)'"),
+        ("encoding_issues > 0", "80", "'fichiers non-UTF8'"),
+        ("hyphen_residue >= 20 and hr > 0.5", "60 + hr * 5", "'césures résiduelles'"),
+        (french("apos > 50 and apos_straight / apos::double > 0.25"), "40.0::double * apos_straight / greatest(apos, 1)", "'apostrophes droites'"),
+        (
+            french("marks > 30 and (punct_space + punct_none) / marks::double > 0.30"),
+            "35.0::double * (punct_space + punct_none) / greatest(marks, 1) + case when punct_none / marks::double > 0.5 then 15 else 0 end",
+            "'insécables ponctuation'",
+        ),
+        (french("inner_ > 20 and (guil_in_space + guil_in_none) / inner_::double > 0.30"), "10", "'guillemets sans insécable'"),
+        (french("dashes > 20 and dlg_hyphen / dashes::double > 0.30"), "30.0::double * dlg_hyphen / greatest(dashes, 1)", "'dialogues au trait'"),
+        (french("lig_bad > 3 and lig_bad > lig_good"), "15", "'ligatures œ perdues'"),
+        (french("dq_straight + dq_curly > 50 and dq_straight + dq_curly > guil_open + guil_close"), "20", "'guillemets anglais'"),
+        (french("ellipsis_dots > 20 and ellipsis_dots > ellipsis_char"), "3", "'« ... » au lieu de'"),
+        (french("caps_bad > 10 and caps_bad > caps_good"), "3", "'capitales non accentuées'"),
+        (french("softhyphen > 200"), "2", "'soft hyphens ×' || softhyphen"),
+    ]
+    total = " + ".join(f"case when {c} then {p} else 0 end" for c, p, _ in rules_)
+    heads = ", ".join(f"case when {c} then left({d}, 12) end" for c, _, d in rules_)
+    return f"""
+with x0 as ({rows}),
+x1 as (select *, lower(coalesce(nullif(lang_opf, ''), nullif(lang_db, ''), '')) as lang_, apos_straight + apos_curly as apos, punct_nbsp + punct_space + punct_none as marks,
+  guil_in_nbsp + guil_in_space + guil_in_none as inner_, dlg_hyphen + dlg_emdash + dlg_endash as dashes, case when chars > 0 then mojibake * 10000.0::double / chars else 0 end as mr,
+  case when chars > 0 then hyphen_residue * 10000.0::double / chars else 0 end as hr from x0),
+x2 as (select *, lang_ like 'fr%' or lang_ in ('', 'und') as fr, coalesce(error, '') <> '' as wrong, chars < 2000 as little, coalesce(fixed_layout, false) or n_images > n_docs * 3 as pictures from x1),
+x3 as (select *, ({total})::double as s, list_filter([{heads}], lambda d: d is not null) as found from x2)
+select {keys}, case when wrong then 'ERR' when little and pictures then 'IMG' when little then 'ERR' when s >= 60 then 'A' when s >= 18 then 'B' when s >= 2 then 'C' else 'OK' end as cls,
+  case when wrong then 999.0::double when little and pictures then 0 when little then 900 else round(s, 1) end as score, (case when wrong or little then 1 else len(found) end)::int as n_defects,
+  array_to_string(case when wrong then [left(error, 12)] when little and pictures then ['livre image '] when little then ['texte quasi '] else found end, '|') as heads from x3"""
+
+
+def record_defaults(rows: str, lang: str) -> str:
+    """Audit records of counters without a container."""
+    return f"select *, {lang} as lang_db, '' as lang_opf, '' as error, false as fixed_layout, 0 as n_images, 0 as encoding_issues, 0 as dlg_hyphen, 0 as dlg_emdash, 0 as dlg_endash from ({rows})"
+
+
+#: audit records made of two keys, so that each rule and class occurs on both sides of its threshold: column, expression that Spark and DuckDB read alike
+GRID = {
+    "chars": "(k * 7919 + c * 104729) % 80000", "apos_straight": "(k * 31 + c) % 150", "apos_curly": "(k * 17) % 260", "mojibake": "case when k % 8 = 0 then (k * 13) % 12 else 0 end",
+    "encoding_issues": "case when k % 19 = 0 then 1 else 0 end", "hyphen_residue": "(k * 7 + c) % 26", "punct_nbsp": "(k * 11) % 90", "punct_space": "(k * 3 + c) % 25", "punct_none": "(k * 5) % 25",
+    "guil_in_nbsp": "(k * 23) % 60", "guil_in_space": "k % 9", "guil_in_none": "c % 9", "dlg_emdash": "(k * 29) % 40", "dlg_endash": "k % 3", "dlg_hyphen": "(c * 3) % 20", "lig_bad": "(k * 2 + c) % 9",
+    "lig_good": "(k * 37) % 8", "dq_straight": "c % 45", "dq_curly": "k % 20", "guil_open": "(k * 41) % 60", "guil_close": "(k * 43) % 60", "ellipsis_dots": "(k * 47) % 40", "ellipsis_char": "(c * 7) % 50",
+    "caps_bad": "k % 21", "caps_good": "c % 22", "softhyphen": "(k * 53) % 320", "n_images": "(k * 3) % 50", "n_docs": "10", "fixed_layout": "k % 23 = 0",
+    "lang_opf": "case k % 6 when 0 then 'fr' when 1 then 'fr-FR' when 2 then '' when 3 then 'und' when 4 then 'en' else 'FR' end", "lang_db": "case when c % 2 = 0 then 'fr' else 'de' end",
+    "error": "case when k % 97 = 0 then 'BadZipFile: no container' else '' end",
+}
+
+
+def grid_rows() -> str:
+    return "select k, " + ", ".join(f"{e} as {n_}" for n_, e in GRID.items()) + " from (select o_orderkey as k, o_custkey as c from orders)"
+
+
+def windows(target: int, overlap: int, separator: str) -> str:
+    """The greedy cut of documents, one paragraph at a time."""
+    sep = f"{quoted(separator)}" if separator.strip() else f"chr({ord(separator)})"
+    return f"""
+with recursive d as (select doc_id, string_split(text, {sep}) as l from documents),
+w(doc_id, i, k, has, some_, open, size, chunk) as (
+  select doc_id, 0, 0, false, false, ''::varchar, 0::bigint, null::varchar from d
+  union all
+  select doc_id, i + 1, k + full_::int, true, full_ or some_ or {stripped('p')} <> '', case when full_ then '[…suite — contexte précédent : …' || right(joined, {overlap}) || ']' else joined end,
+    case when full_ then 0 else size2 end, case when full_ then joined end
+  from (select *, size2 >= {target} as full_ from (select w.doc_id, i, k, some_, l[i + 1] as p, case when has then open || {sep} || l[i + 1] else l[i + 1] end as joined, size + length(l[i + 1]) + 2 as size2
+    from w join d on w.doc_id = d.doc_id where i < len(l)))),
+e as (select doc_id, k, chunk from w where chunk is not null union all select w.doc_id, k + 1, open from w join d on w.doc_id = d.doc_id where i = len(l) and some_)
+select doc_id, k::int as k, count(*) over (partition by doc_id)::int as of, chunk, length(chunk)::int as chars from e"""
+
+
+# --- corrections ---------------------------------------------------------------------------------
+
+FILLERS = 26
+
+
+def proposals() -> str:
+    """book, doc, ord, a (sought), b (put): corrections of each document that fit, repeat, are missing, too short, beyond the bounds, delete, differ in spaces, are too many or have no document."""
+    spot = lambda at, n_: f"substring(t, {at}, {n_})"
+    plain = f"replace({spot('3 * n // 4', 20)}, '{T.NBSP}', ' ')"
+    made = [
+        (0, spot("n // 2", 24), f"{spot('n // 2', 23)} || 'é'"), (1, f"{spot('n // 2', 23)} || 'é'", f"{spot('n // 2', 23)} || 'ée'"), (2, "'zzzzzzzz absent'", "'zzzzzzzz absents'"),
+        (3, spot("n // 3", 5), "'autre'"), (4, spot("n // 4", 20), "repeat('long ', 9)"), (5, spot("n // 5", 30), spot("n // 5", 12)), (6, plain, f"{plain} || 's'"),
+    ]
+    rows = " union all ".join(f"select book, 'd' as doc, {o}::bigint as ord, {a} as a, {b} as b from x where n > 120" for o, a, b in made)
+    more = f"select book, 'd', unnest(range(7, {7 + FILLERS})), 'zzzz ' || unnest(range(7, {7 + FILLERS})), 'zzzz s' from x where n > 3000"
+    return f"""x as (select doc_id as book, replace(text, ' e', '{T.NBSP}e') as t, length(text) as n from documents where text is not null),
+c as (select * from ({rows} union all {more} union all select book, 'absent', 99, 'zzzz orphan', 'zzzz orphans' from x where n > 120) where a <> b and a <> '')"""
+
+
+def applied() -> str:
+    """(book, budget, asked, the text after each correction t0 ..., status s0 ..., actual c0 ...) in the last table, z."""
+    esc = "replace(replace(replace(t, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    flat = lambda t: f"replace(replace(replace({t}, '{T.NBSP}', ' '), '{T.NNBSP}', ' '), '{T.THIN}', ' ')"
+    out = f"""with {proposals()},
+g as (select book, t, n, greatest(25, floor({n(f'[^{BLANK}]+', "('<p>' || " + esc + " || '</p>')")} * 0.2::double / 100))::bigint as budget from x),
+y as (select g.*, coalesce(asked, 0) as asked, coalesce(asked, 0) > budget as over_ from g left join (select book, count(*) as asked from c group by book) q using (book)),
+p as (select book, {', '.join(f"max(a) filter (ord = {o}) as a{o}, max(b) filter (ord = {o}) as b{o}" for o in (0, 1, 5, 6))} from c where doc = 'd' group by book),
+z_ as (select y.*, p.* exclude (book), t as z from y left join p using (book))"""
+    at = "z_"
+    for o in (0, 1, 5, 6):
+        a, b, blank = f"a{o}", f"b{o}", BLANK
+        words = f"abs({n(f'[^{blank}]+', b)} - {n(f'[^{blank}]+', a)})"
+        limits = f"{words} > 6 or length({a}) - length({b}) > 60 or levenshtein({a}, {b}) > 30" if o == 5 else f"{words} > 2"
+        exact = f"((length(z) - length(replace(z, {a}, ''))) // length({a}))"
+        place = f"strpos({flat('z')}, {flat(a)})"
+        out += f""",
+m{o} as (select *, {exact} as e, {place} as at_ from {at}),
+k{o} as (select * exclude (e, at_, z), z as old, at_, case when {a} is null then null when over_ then 'budget dépassé' when length({a}) < 8 then 'motif trop court' when {limits} then 'au-delà des bornes' when e > 1 then 'motif non unique' when e = 1 then ''
+  when at_ = 0 then 'motif introuvable dans les segments texte' when strpos(substring({flat('z')}, at_ + 1), {flat(a)}) > 0 then 'motif non unique avec tolérance espaces' else ' ' end as r{o}, z from m{o}),
+l{o} as (select * exclude (old, at_, z), case r{o} when '' then {a} when ' ' then substring(old, at_, length({a})) end as c{o},
+  case r{o} when '' then replace(old, {a}, {b}) when ' ' then left(old, at_ - 1) || substring(old, at_, length({a})) || right({b}, length({b}) - length({a})) || substring(old, at_ + length({a})) else z end as z from k{o})"""
+        at = f"l{o}"
+    return out + f", z as (select *, '<p>' || {esc.replace('(t,', '(z,')} || '</p>' as fixed from {at})"
+
+
+def outcomes() -> str:
+    done = " union all ".join(f"select book, 'd' as doc, {o}::bigint as ord, trim(r{o}) = '' as ok, r{o} as reason, c{o} as actual from z where r{o} is not null" for o in (0, 1, 5, 6))
+    other = f"""select c.book, doc, ord, false, case when over_ then 'budget dépassé' when length(a) < 8 then 'motif trop court' when ord = 4 then 'au-delà des bornes' else 'motif introuvable dans les segments texte' end, null
+  from c join z using (book) where doc = 'd' and ord not in (0, 1, 5, 6)"""
+    return f"{applied()} select book, doc, ord::int as ord, case when ok then 'applied' else 'rejected' end as status, case when not ok then reason end as reason, actual from ({done} union all {other})"
+
+
 def ranking() -> str:
     return f"""
 select *, row_number() over (order by case cls when 'A' then 0 when 'ERR' then 1 when 'B' then 2 when 'C' then 3 when 'IMG' then 4 else 5 end, score desc, source, lang)::int as place
