@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from quillspark.functions import damage, state
 from quillspark.functions import text as T
 from quillspark.operators import anomalies, apply, audit, boilerplate, corpus, rules, score
+from quillspark.plans import pipelines
 from quillspark.plans import sqltext as S
 from quillspark.sinks import books as sink
 from quillspark.sources import library, tables
@@ -364,24 +365,64 @@ def chosen_books(documents, labels):
 
 # --- boilerplate, metadata, containers -----------------------------------------------------------------------------------
 
-_MARKED = "replace(html, '<article>', '<article><p>*** START OF this Gutenberg work ***</p>')"
+_META = boilerplate.Metadata("Un titre", "Une autrice", "note")
 
 
-@query(
-    f"""with p as (select page_id, {_MARKED} as html from pages), q as (select *, strpos(html, '*** START OF') as s, regexp_extract(html, '(?i)<body[^>]*>') as b from p),
-r as (select *, strpos(html, b) + length(b) - 1 as keep, strpos(substring(html, s), '</p>') + s + 2 as cut from q)
-select page_id, case when s > 0 then cut - keep else 0 end::int as removed from r"""
-)
+def _cases(key: str, values: list) -> Column:
+    """The value for key modulo their number."""
+    out = F.when(F.col(key) % len(values) == 0, values[0])
+    for k, v in enumerate(values[1:], 1):
+        out = out.when(F.col(key) % len(values) == k, v)
+    return out
+
+
+def _with_id(template: str) -> Column:
+    return F.replace(F.lit(template), F.lit("{0}"), F.col("page_id").cast("string"))
+
+
+@query(S.stripped_pages())
 def boilerplate_cut(pages):
-    marked = pages.select("page_id", F.replace(F.col("html"), F.lit("<article>"), F.lit("<article><p>*** START OF this Gutenberg work ***</p>")).alias("html"))
-    done = boilerplate.strip_documents(marked)
-    return done.select("page_id", F.when(F.col("drift"), boilerplate._cut(F.col("html"), F.lit(False))["removed"]).otherwise(F.col("removed")).alias("removed"))
+    """Each marker, the licence, a page that names nothing, and one that the drift guard leaves alone."""
+    marked = pages.select("page_id", _cases("page_id", [damage.damaged("html", pairs) for pairs in S.BOILERPLATE]).alias("html"))
+    return boilerplate.strip_documents(marked).select("page_id", "removed", "drift", "dropped", F.md5(F.encode("stripped", "UTF-8")).alias("stripped"))
 
 
-@query()
+@query(S.pruned_pages())
+def pruned_packages(pages):
+    """Manifest, spine and navigation after files were dropped."""
+    gone = _cases("page_id", [F.array().cast("array<string>"), F.array(_with_id("a{0}.xhtml"), _with_id("b{0}.xhtml")), F.array(_with_id("c{0}.xhtml"))])
+    ncx = boilerplate.pruned_navigation(_with_id(S.navigation("p", "q", "r", "s", first=0)), F.array(F.lit("top"), F.lit("kept")), gone)
+    return pages.select("page_id", boilerplate.pruned_package(_with_id(S.PACKAGE), gone).alias("opf"), ncx.alias("ncx"))
+
+
+@query(S.cleaned_pages(_META))
 def clean_metadata(pages):
-    opf = F.concat(F.lit("<package><metadata><dc:identifier id='x'>"), F.col("url"), F.lit("</dc:identifier><dc:title>t</dc:title><dc:rights>r</dc:rights></metadata></package>"))
-    return pages.select("page_id", boilerplate.clean_package(opf, boilerplate.Metadata("Un titre", "Une autrice", "note")).alias("opf"))
+    opf = _cases("page_id", [_with_id(x) for x in S.METADATA])
+    return pages.select("page_id", boilerplate.clean_package(opf, _META).alias("opf"), boilerplate.navigation_id(_with_id(S.NAVIGATION), _META).alias("ncx"))
+
+
+@query(S.library_books())
+def library_audit(pages):
+    """E-books of ten pages each, packed, unpacked, audited, classified and ranked; some are broken, missing, of pictures, in Latin-1."""
+    book = F.floor(F.col("page_id") / 10)
+    case = F.col("b") % S.BOOK_CASES
+    p = pages.select(book.alias("b"), "page_id", "html")
+    text = F.when(case == 4, F.encode(T.sub(damage.damaged("html", S.DASHED), "[^\\x00-\\xFF]", "?"), "ISO-8859-1")).when(case == 1, F.encode(F.lit("<p>x</p>"), "UTF-8")).otherwise(F.encode("html", "UTF-8"))
+    docs = p.select("b", (F.col("page_id") % 10 + 20).cast("int").alias("ord"), F.concat(F.lit("t/c"), "page_id", F.lit(".xhtml")).alias("name"), text.alias("bytes"))
+    opf = F.concat(F.lit('<package version="2.0"><dc:language> '), F.when(case == 5, "en").otherwise("fr-FR"), F.lit(" </dc:language>"), F.when(case == 1, '<meta content="pre-paginated"/>').otherwise(""), F.lit("</package>"))
+    raw = lambda s: F.encode(F.lit(s), "UTF-8")
+    parts = [("b.opf", F.encode(opf, "UTF-8")), ("toc.ncx", raw("<ncx/>")), ("nav.xhtml", raw("")), ("s.css", raw("p{}")), ("f.otf", raw("-")), ("i.png", raw("-")), ("j.JPEG", raw("-"))]
+    rows = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(n).alias("name"), x.alias("bytes")) for k, (n, x) in enumerate(parts)])
+    others = p.select("b").distinct().select("b", F.inline(rows))
+    entries = docs.unionByName(others).withColumn("zdate", F.lit(None).cast("array<int>")).withColumnRenamed("b", "book_id")
+    made = sink.packed(entries).select(F.col("book_id").alias("id"), F.when(F.col("book_id") % 6 == 2, F.encode(F.lit("broken"), "UTF-8")).when(F.col("book_id") % 6 != 3, F.col("content")).alias("content"))
+    again = library.entries(made)
+    errors = made.join(library.failures(again), "id", "left").select("id", F.when(F.col("content").isNull(), F.lit("epub_not_found")).otherwise(F.col("error")).alias("error"), F.lit("fr").alias("lang_db"))
+    ranked = pipelines.audit_and_rank(errors, again.filter("ord >= 0"))
+    nothing = {"lang_opf": "", "epub_version": "", "fixed_layout": False, "has_ncx": False, "has_nav": False, "error": ""}
+    facts = ["n_docs", "n_css", "n_fonts", "n_images", "encoding_issues", *audit.COUNTERS]
+    filled = [F.coalesce(F.col(c), F.lit(v)).alias(c) for c, v in (nothing | dict.fromkeys(facts, 0)).items()]
+    return ranked.select("id", *filled, "cls", "score", F.size("defects").alias("n_defects"), _heads(F.col("defects")).alias("heads"), "place")
 
 
 @query("select page_id // 50 as book_id, 'doc-' || page_id || '.xhtml' as name, md5(html) as content from pages")

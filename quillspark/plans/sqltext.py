@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from quillspark.functions import text as T
 from quillspark.functions.damage import damaged_sql, quoted
-from quillspark.operators import anomalies, audit, rules
+from quillspark.operators import anomalies, audit, boilerplate, rules
 
 W = r"\p{L}\p{M}\p{N}_"
 LOW = "[a-zà-öø-ÿ]"
@@ -415,3 +417,131 @@ f0 as (select page_id, unnest(regexp_extract_all(html, '<[^>]+>|[^<]+')) as frag
 f1 as (select *, fragment like '<%' as is_tag, lower(regexp_extract(fragment, '^</?\\s*([0-9A-Za-z]+)', 1)) as name from f0),
 f2 as (select *, sum(case when is_tag and name in {skipped} then case when fragment like '</%' then -1 else 1 end else 0 end) over (partition by page_id order by ord) as s from f1),
 f as (select *, s - least(0, min(s) over (partition by page_id order by ord)) > 0 as in_skip from f2)"""
+
+
+# --- boilerplate ------------------------------------------------------------------------------------
+
+#: by page_id modulo their number: literal replacements in the page that make it a case of the boilerplate remover
+BOILERPLATE = [
+    [("<article>", "<article><p>*** START OF this Gutenberg work ***</p>")],
+    [("</article>", "<p>End of the Project Gutenberg text</p></article>"), ("<p><b>", "<b>")],
+    [("<article>", "<article><p>Produced by a team at ebooksgratuits, with care</p>")],
+    [("<article>", "<article><p>The full Project Gutenberg licence</p>"), ("é", "e"), ("à", "a"), ("ç", "c"), ("è", "e"), ("ê", "e"), ("ù", "u"), ("<p><b>", "<b>")],
+    [("<article>", "<article><div><p>*** START OF this Gutenberg work ***</p></div>"), ('<div class="ad">', '<div class="ad"><blockquote>'), ("</article>", "</blockquote></article>")],
+    [("<article>", "<article><p>Produced by nobody in particular</p>")],
+    [("<article>", "<article><p>*** START OF a Gutenberg text ***</p>"), ("</article>", "<h2>*** END OF it</h2></article>")],
+]
+
+
+def by_case(html: str, key: str, cases: list[list[tuple[str, str]]]) -> str:
+    return f"case {key} % {len(cases)} " + " ".join(f"when {k} then {damaged_sql(html, pairs)}" for k, pairs in enumerate(cases)) + " end"
+
+
+def stripped_pages() -> str:
+    block = "|".join(boilerplate.BLOCKS)
+    opens, closes = rf"<(?:{block})[\s>]", rf"</(?:{block})\s*>"
+    upto = lambda t, p: f"length(regexp_extract({t}, {quoted(f'(?is)^(.*?)(?:{p})')}, 1))"
+    through = lambda t, p: f"length(regexp_extract({t}, {quoted(f'(?is)^.*?(?:{p})')}, 0))"
+    has = lambda t, p: f"regexp_matches({t}, {quoted(f'(?is){p}')})"
+    before = lambda at: f"length(regexp_extract(left(m, {at}), {quoted(f'(?is)^(.*){opens}')}, 1))"
+    body, credit = "<body[^>]*>", boilerplate.CREDIT.pattern.replace("{,", "{0,")
+    begin, finish = boilerplate.BEGIN.pattern, boilerplate.FINISH.pattern
+    last = "length(regexp_extract(m, '(?is)^(.*)</body>', 1))"
+    surplus = lambda t: "[" + ", ".join(f"{n(f'(?i)<{b}[\\s>]', t)} - {n(f'(?i)</{b}\\s*>', t)}" for b in boilerplate.BLOCKS) + "]"
+    plain = removed(removed("html", HEAD), "<[^>]+>", " ")
+    return f"""
+with h as (select page_id, {by_case('html', 'page_id', BOILERPLATE)} as html from pages),
+a as (select *, html as m, {has(plain, boilerplate.LICENCE.removeprefix('(?i)'))} and {n(boilerplate.ACCENTS, plain)} < length({plain}) / 2000.0::double as licence from h),
+b as (select *, {through('m', body)} as b, {last} as e, licence and {has('m', body)} and {has('m', '</body>')} and {last} > {through('m', body)} as whole from a),
+c as (select page_id, html, whole, case when whole then left(m, b) || chr(10) || substring(m, e + 1) else m end as m, case when whole then e - b else 0 end as gone from b),
+d as (select *, {upto('left(m, 6000)', credit)} as hs, {through('left(m, 6000)', credit)} as he, not whole and {has('left(m, 6000)', credit)} as hit from c),
+e as (select *, {before('hs')} as x, he + {through('substring(m, he + 1)', closes)} as y, hit and {has('left(m, hs)', opens)} and {has('substring(m, he + 1)', closes)} as go from d),
+f as (select page_id, html, whole, case when go then left(m, x) || chr(10) || substring(m, y + 1) else m end as m, gone + case when go then y - x else 0 end as gone from e),
+g as (select *, {upto('m', begin)} as hs, {through('m', begin)} as he, {through('m', body)} as b, not whole and {has('m', begin)} and {has('m', body)} and {through('m', body)} < {upto('m', begin)} as go from f),
+i as (select *, he + case when {has('substring(m, he + 1)', closes)} then {through('substring(m, he + 1)', closes)} else 0 end as y from g),
+j as (select page_id, html, whole, case when go then left(m, b) || chr(10) || substring(m, y + 1) else m end as m, gone + case when go then y - b else 0 end as gone from i),
+k as (select *, {upto('m', finish)} as hs, {last} as e, not whole and {has('m', finish)} as hit from j),
+l as (select *, {before('hs')} as x, hit and {has('left(m, hs)', opens)} and e > hs as go from k),
+o as (select page_id, html, case when go then left(m, x) || chr(10) || substring(m, e + 1) else m end as m, gone + case when go then e - x else 0 end as gone, contains(html, 'utenberg') as gate from l),
+q as (select *, gate and gone > 0 and {surplus('html')} <> {surplus('m')} as drift from o),
+r as (select page_id, gate, drift, case when drift or not gate then html else m end as stripped, case when drift or not gate then 0 else gone end as removed from q)
+select page_id, removed::int as removed, drift, gate and not regexp_matches(case when {has('stripped', body + '.*</body>')} then regexp_extract(stripped, '(?is)<body[^>]*>(.*)</body>', 1) else stripped end, {quoted('(?i)' + opens)}) as dropped, md5(stripped) as stripped from r"""
+
+
+PACKAGE = '<package><manifest><item id="a" href="t/a{0}.xhtml"/><item href=\'b{0}.xhtml\' id=\'b\'/><item id="c" href="c{0}.xhtml"/></manifest><spine><itemref idref="a"/><itemref idref="b"/><itemref idref="c"/></spine></package>'
+_POINT = '<navPoint id="{i}" playOrder="{o}"><content src="{src}" />{more}</navPoint>'
+_NCX = '<ncx xmlns="http://www.daisy.org/z3986/2005/ncx/"><navMap>{0}</navMap></ncx>'
+_TARGETS = {"p": "t/a{0}.xhtml#top", "q": "b{0}.xhtml", "r": "c{0}.xhtml#gone", "s": "c{0}.xhtml#kept"}
+
+
+def navigation(*points: str, first: int = 1) -> str:
+    """A navigation of the points named, q under p, numbered from first on or all the same with 0."""
+    order = {k: (i + first if first else 9) for i, k in enumerate(points)}
+    made = lambda k, more="": _POINT.format(i=k, o=order[k], src=_TARGETS[k], more=more)
+    return _NCX.format("".join(made(k, made("q") if k == "p" and "q" in points else "") for k in points if k != "q"))
+
+
+def with_id(template: str) -> str:
+    return "replace(" + quoted(template) + ", '{0}', page_id::varchar)"
+
+
+def pruned_pages() -> str:
+    """By page_id modulo 3: nothing dropped, a and b dropped, c dropped; the anchors top and kept survive, gone doesn't."""
+    head = "<?xml version='1.0' encoding='utf-8'?>\n"
+    a, b, c = ('<item id="a" href="t/a{0}.xhtml"/>', "<item href='b{0}.xhtml' id='b'/>", '<item id="c" href="c{0}.xhtml"/>')
+    ref = '<itemref idref="{}"/>'
+    less = lambda *gone: reduce(lambda t, x: t.replace(x, ""), gone, PACKAGE)
+    opf = [PACKAGE, less(a, b, ref.format("a"), ref.format("b")), less(c, ref.format("c"))]
+    ncx = [navigation("p", "q", "s"), navigation("s"), navigation("p", "q")]
+    pick = lambda of: "case page_id % 3 " + " ".join(f"when {k} then {with_id(x)}" for k, x in enumerate(of)) + " end"
+    return f"select page_id, {pick(opf)} as opf, {pick([head + x for x in ncx])} as ncx from pages"
+
+
+#: by page_id modulo their number: the metadata of a package
+METADATA = [
+    '<package><metadata><dc:identifier id="i">http://x.org/{0}</dc:identifier><dc:title>Ancien</dc:title><dc:creator>Qui</dc:creator><dc:rights a="b">r\ns</dc:rights></metadata></package>',
+    '<package><metadata xmlns:opf="u"><dc:identifier>urn:isbn:{0}</dc:identifier>\n \n\n<dc:contributor>Distributed Proofreaders</dc:contributor><dc:contributor>Une autre</dc:contributor></metadata></package>',
+    '<package><metadata><dc:identifier>ebooksgratuits-{0}</dc:identifier><dc:publisher>Project Gutenberg</dc:publisher><dc:publisher>Autre</dc:publisher><dc:source>www.gutenberg.org/{0}</dc:source><dc:creator opf:role="aut">X</dc:creator></metadata></package>',
+    "<package>{0}</package>",
+]
+NAVIGATION = '<ncx><head><meta name="dtb:uid" content="http://old/{0}"/><meta name="dtb:depth" content="{0}"/></head></ncx>'
+
+
+def cleaned_pages(meta: boilerplate.Metadata) -> str:
+    o = "case page_id % 4 " + " ".join(f"when {k} then {with_id(x)}" for k, x in enumerate(METADATA)) + " end"
+    t = "o"
+    steps = [(r"(?i)(<dc:identifier[^>]*>)(?:[^<]*(?:ebooksgratuits|gutenberg)[^<]*|https?:[^<]*)(</dc:identifier>)", rf"\1{meta.new_id()}\2"), *[(p, "") for p in boilerplate.UNWANTED], ("(<dc:creator[^>]*>)[^<]*(</dc:creator>)", rf"\1{meta.author}\2")]
+    for pattern, by in steps:
+        t = removed(t, pattern, by)
+    element = lambda tag, value: f"case when not contains(t, '<dc:{tag}') then chr(10) || '  <dc:{tag}>{value}</dc:{tag}>' else '' end"
+    add = f"chr(10) || '  <dc:rights>{boilerplate.RIGHTS}</dc:rights>' || chr(10) || '  <dc:contributor opf:role=\"edt\">{meta.note}</dc:contributor>' || {element('title', meta.title)} || {element('creator', meta.author)} || chr(10)"
+    ns = "case when contains(t, '<metadata') and not contains(t, 'xmlns:opf') then replace(t, '<metadata', '<metadata xmlns:opf=\"http://www.idpf.org/2007/opf\"') else t end"
+    return f"""
+with a as (select page_id, {o} as o from pages), b as (select page_id, {t} as t from a), c as (select page_id, {ns} as u, {add} as add_ from b)
+select page_id, regexp_replace(replace(u, '</metadata>', add_ || '</metadata>'), '\n[{BLANK}]*\n+', chr(10), 'g') as opf, replace({with_id(NAVIGATION)}, 'http://old/' || page_id, {quoted(meta.new_id())}) as ncx from c"""
+
+
+# --- e-books -------------------------------------------------------------------------------------------
+
+#: ten pages are a book; by book modulo 6: whole, of pictures, a broken container, no file, in Latin-1 with dialogues, in English
+BOOK_CASES = 6
+DASHED = [("<p>A", "<p>- A"), ("<p>T", "<p><i>— T"), (" of ", " d'un coeur! "), (" le ", " « le » ")]
+
+
+def library_books() -> str:
+    from_page = f"case when b % 6 = 1 then '<p>x</p>' when b % 6 = 4 then regexp_replace({damaged_sql('html', DASHED)}, '[^\\x00-\\xFF]', '?', 'g') else html end"
+    counters = ", ".join(f"coalesce(sum({sql}), 0)::bigint as {k}" for k, sql in text_counters().items())
+    dashes = rf"(?i)<p[^>]*>(?:[{BLANK}]|<[^>]+>|&(?:nbsp|#160|#xa0|#8239);)*({audit.DASH})"
+    kinds = ", ".join(f"coalesce(sum(len(list_filter(dd, lambda x: x in {among(list(f))}))), 0)::bigint as {k}" for k, f in audit.DASHES.items())
+    zero = ", ".join(f"case when error = '' then {k} else 0 end as {k}" for k in audit.COUNTERS)
+    sound = lambda value, otherwise="0": f"case when error = '' then {value} else {otherwise} end"
+    rows = f"""with p as (select page_id // 10 as b, page_id, html from pages), h as (select b, {from_page} as html from p),
+t as (select b, html, {projections()['audit']} as t, list_transform(regexp_extract_all(html, {quoted(dashes)}, 1), lambda x: lower(x)) as dd from h),
+d as (select *, {parts()} as l from t),
+c as (select b, count(*)::int as n_pages, sum((b % 6 = 4 and regexp_matches(html, '[^\\x00-\\x7F]'))::int)::int as odd, {counters}, {kinds} from d group by b),
+f as (select * exclude (n_pages, odd), case b % 6 when 2 then 'BadZipFile: File is not a zip file' when 3 then 'epub_not_found' else '' end as error, n_pages, odd from c)
+select b as id, {zero}, error, {sound("case when b % 6 = 5 then 'en' else 'fr-FR' end", "''")} as lang_opf, 'fr' as lang_db, {sound('b % 6 = 1', 'false')} as fixed_layout, {sound('2')} as n_images,
+  {sound('n_pages + 1')} as n_docs, {sound('odd')} as encoding_issues, {sound('1')} as n_css, {sound('1')} as n_fonts, {sound("'2.0'", "''")} as epub_version from f"""
+    keys = "id, error, lang_opf, epub_version, n_docs, n_css, n_fonts, n_images, fixed_layout, encoding_issues, error = '' as has_ncx, error = '' as has_nav, " + ", ".join(audit.COUNTERS)
+    inner = scored(rows, "* exclude (s, found)")
+    return f"select {keys}, cls, score, n_defects, heads, row_number() over (order by case cls when 'A' then 0 when 'ERR' then 1 when 'B' then 2 when 'C' then 3 when 'IMG' then 4 else 5 end, score desc, id)::int as place from ({inner})"
