@@ -170,7 +170,10 @@ def word_frequency(documents):
     return anomalies.book_words(_damaged(documents), ["source"])
 
 
-@query(f"select source, word, n from ({_WORDS}) w where n < 3 and seen_lower and length(word) >= 3 and regexp_matches(word, '^[{anomalies.SMALL}][{anomalies.SMALL}''’-]*$') and word not in (select word from ({_LEXICON}))")
+_UNKNOWN = f"select source, word, n from ({_WORDS}) w where n < 3 and seen_lower and length(word) >= 3 and regexp_matches(word, '^[{anomalies.SMALL}][{anomalies.SMALL}''’-]*$') and word not in (select word from ({_LEXICON}))"
+
+
+@query(_UNKNOWN)
 def unknown_words(documents):
     return anomalies.unknown_words(_damaged(documents), ["source"], corpus.lexicon(documents, ["source"]))
 
@@ -188,13 +191,31 @@ def doubled_words(documents):
     return anomalies.count_by_book(_damaged(documents), BOOK).filter("type = 'mot_double'").select(*BOOK, "n")
 
 
-@query()
-def anomaly_records(documents):
+def _anomalies(documents: DataFrame) -> DataFrame:
     docs = _damaged(documents)
     words = corpus.lexicon(documents, ["source"])
     unknown = anomalies.unknown_words(docs, ["source"], words)
-    found = anomalies.records(docs, ["source", "doc_id"], "text", unknown, words, ["source"])
-    return anomalies.capped(found, ["source"], ["doc_id"])
+    return anomalies.records(docs, ["source", "doc_id"], "text", unknown, words, ["source"])
+
+
+@query(S.anomaly_rows(_UNKNOWN, _LEXICON))
+def anomaly_records(documents):
+    """The records, with context, of the detectors whose places SQL can find; the cap counts those of each type."""
+    found = anomalies.capped(_anomalies(documents), ["source"], ["doc_id"])
+    kinds = ["mot_inconnu", "cesure_residuelle", "abrev_m", "guillemet_desequilibre", "quatre_points"]
+    return found.filter(F.col("type").isin(*kinds)).select("source", "doc_id", "type", "pos", "avant", "extrait", "apres", "suggestion")
+
+
+@query(
+    f"""with s as (select source, type, sum(n)::bigint as n from ({S.anomaly_counts()}) group by all union all select source, 'mot_double', sum(n)::bigint from ({S.doubled_words()}) group by all union all select source, 'mot_inconnu', sum(n)::bigint from ({_UNKNOWN}) group by all)
+select source, type, n, least(n, {anomalies.PER_TYPE}) as kept from s where n > 0"""
+)
+def anomaly_statistics(documents):
+    """All records of each type and book, and how many the cap leaves."""
+    found = _anomalies(documents)
+    every = anomalies.statistics(found, ["source"])
+    kept = anomalies.capped(found, ["source"], ["doc_id"]).groupBy("source", "type").agg(F.count("*").alias("kept"))
+    return every.join(kept, ["source", "type"])
 
 
 # --- rules ------------------------------------------------------------------------------------------------------

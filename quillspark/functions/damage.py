@@ -26,6 +26,7 @@ DAMAGE = [
     (" on ", " Evenement A quoi? "),
     (" with ", " ab.cd nous nous "),
     (" est ", " À «\u202fest\u00a0» . "),
+    (" du ", " « du "),
 ]
 
 

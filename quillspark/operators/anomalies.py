@@ -9,9 +9,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Collection, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,14 +56,40 @@ def norm_word(w: T.Text) -> Column:
     return T.sub(w, ELIDED, "")
 
 
+FLUSH = 500_000  # distinct forms that a task holds before it passes them on
+
+
 def book_words(docs: DataFrame, book: list[str], text: str = "text") -> DataFrame:
     """word, n, seen_lower for each book: frequency, and whether it was seen with a small initial.
 
-    Equal forms are counted first, so that only distinct forms are normalised and shuffled."""
-    forms = docs.select(*book, F.explode(F.regexp_extract_all(F.col(text), F.lit(WORD), F.lit(0))).alias("form"))
-    forms = forms.groupBy(*book, "form").agg(F.count("*").alias("n"))
-    small = F.substring("form", 1, 1) != F.upper(F.substring("form", 1, 1))
-    return forms.select(*book, norm_word("form").alias("word"), "n", small.alias("small")).groupBy(*book, "word").agg(F.sum("n").alias("n"), F.bool_or("small").alias("seen_lower"))
+    Each task counts equal forms of a book before anything is shuffled; only distinct forms are normalised."""
+    kinds = dict(docs.dtypes)
+    names = [*book, "word", "n", "small"]
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in book), "word string, n long, small boolean"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple, Counter] = {}
+        kind: list[pa.DataType] = []
+        cut = re.compile(WORD).findall
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*k, _norm(f), n, f[:1] != f[:1].upper()) for k, c in counts.items() for f, n in c.items()]
+            counts.clear()
+            types = [*kind, pa.string(), pa.int64(), pa.bool_()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], names)
+
+        for b in batches:
+            kind = [b.column(i).type for i in range(len(book))]
+            for *k, t in zip(*(c.to_pylist() for c in b.columns)):
+                if t:
+                    counts.setdefault(tuple(k), Counter()).update(cut(t))
+            if sum(map(len, counts.values())) > FLUSH:
+                yield flush()
+        if counts:
+            yield flush()
+
+    forms = docs.select(*book, F.col(text).alias("__t")).mapInArrow(run, schema)
+    return forms.groupBy(*book, "word").agg(F.sum("n").alias("n"), F.bool_or("small").alias("seen_lower"))
 
 
 def unknown_words(docs: DataFrame, book: list[str], lexicon: DataFrame | None = None, dictionary: DataFrame | None = None, text: str = "text") -> DataFrame:
@@ -125,7 +152,7 @@ def _excepted(kind: str, m: re.Match, t: str) -> bool:
     return (kind == "mot_double" and m[1] in DOUBLED) or (kind == "virgule_point" and m[0] == "..")
 
 
-def find(t: str, unknown: frozenset[str] = frozenset()) -> Iterator[tuple]:
+def find(t: str, unknown: Collection[str] = ()) -> Iterator[tuple]:
     """(type, detector, pos, avant, extrait, apres, suggestion) of each anomaly of a text, detector by detector."""
 
     def record(kind: str, a: int, b: int, suggestion: str | None) -> tuple:
@@ -144,33 +171,46 @@ def find(t: str, unknown: frozenset[str] = frozenset()) -> Iterator[tuple]:
         yield "guillemet_desequilibre", TYPES.index("guillemet_desequilibre"), 0, "", f"« ×{a} vs » ×{b}", "", None
 
 
-def records(docs: DataFrame, key: list[str], text: str = "text", unknown: DataFrame | None = None, lexicon: DataFrame | None = None, book: list[str] | None = None) -> DataFrame:
+SHARED_WORDS = 200_000  # unknown words that may be broadcast
+
+
+def records(docs: DataFrame, key: list[str], text: str = "text", unknown: DataFrame | None = None, lexicon: DataFrame | None = None, book: list[str] | None = None, shared_words: int = SHARED_WORDS) -> DataFrame:
     """The columns of key and a row for each anomaly of each document.
 
-    unknown: the columns of book and word; a document gets those of its own words that are in it.
+    unknown: the columns of book and word; a document gets those of its own words that are in it.  Up to shared_words
+    of them are broadcast, so that texts stay where they are; of more, each document is joined with its own.
     lexicon: a rejoined hyphenated word is suggested only if it is in it (word); without a lexicon none is."""
-    base = docs.select(*key, F.col(text).alias("__t"))
-    if unknown is None:
-        base = base.withColumn("__w", F.array().cast("array<string>"))
-    else:
-        mine = base.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)))).alias("form")).withColumn("word", norm_word("form"))
-        mine = mine.join(unknown.select(*book, "word").distinct(), [*book, "word"], "left_semi").groupBy(*key).agg(F.collect_set("word").alias("__w"))
-        base = base.join(mine, key, "left")
+    base = docs.select(*key, F.col(text).alias("__t"), F.lit(None).cast("array<string>").alias("__w"))
+    shared, at = None, []
+    if unknown is not None:
+        rare = unknown.select(*book, "word").distinct()
+        rows = rare.limit(shared_words + 1).collect()
+        if len(rows) <= shared_words:
+            sets: dict[tuple, set] = {}
+            for *k, w in rows:
+                sets.setdefault(tuple(k), set()).add(w)
+            shared, at = docs.sparkSession.sparkContext.broadcast(sets), [key.index(k) for k in book]
+        else:
+            base = base.drop("__w")
+            mine = base.select(*key, F.explode(F.array_distinct(F.regexp_extract_all("__t", F.lit(WORD), F.lit(0)))).alias("form")).withColumn("word", norm_word("form"))
+            mine = mine.join(rare, [*book, "word"], "left_semi").groupBy(*key).agg(F.collect_set("word").alias("__w"))
+            base = base.join(mine, key, "left")
 
     kinds = dict(docs.dtypes)
     schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), RECORD])
     names = [*key, *(x.split()[0] for x in RECORD.split(", "))]
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             rows = []
-            for row in f.itertuples(index=False):
-                *k, t, w = row
-                words = frozenset(() if w is None else w)
+            for *k, t, w in zip(*(c.to_pylist() for c in b.columns)):
+                words = (w or ()) if shared is None else shared.value.get(tuple(k[i] for i in at), ())
                 rows += [(*k, *r) for r in find(t or "", words)]
-            yield pd.DataFrame(rows, columns=names)
+            types = [*(b.column(i).type for i in range(len(key))), pa.string(), pa.int32(), pa.int32(), *[pa.string()] * 4]
+            columns = zip(*rows) if rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names)
 
-    out = base.mapInPandas(run, schema)
+    out = base.mapInArrow(run, schema)
     hyphen = F.col("type") == "cesure_residuelle"
     if lexicon is None:
         return out.withColumn("suggestion", F.when(~hyphen, F.col("suggestion")))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
+from quillspark.functions import points as P
 from quillspark.functions import text as T
 
 CHARACTERS = {
@@ -72,7 +76,7 @@ def marks_of(text: T.Text) -> Column:
 
 
 def text_counters(text: T.Text, marked: bool = False) -> dict[str, Column]:
-    """The 26 counters of a text; marked: its marks_of are a column __marks already."""
+    """The 26 counters of a text as native expressions, for texts that are in the JVM only; marked: its marks_of are a column __marks already."""
     t = T.col(text)
     out = {"chars": F.length(t).cast("long")}
     marks = F.col("__marks") if marked else marks_of(t)
@@ -83,6 +87,102 @@ def text_counters(text: T.Text, marked: bool = False) -> dict[str, Column]:
     return out
 
 
+# --- the same in one pass ---------------------------------------------------------------------------
+
+
+class _Tables:
+    """Tables by code point, and the spellings, made once in a process."""
+
+    _one: "_Tables | None" = None
+
+    def __init__(self) -> None:
+        self.kind = np.zeros(P.LIMIT + 1, np.int8)
+        self.kinds = list(CHARACTERS)
+        for k, chars in enumerate(CHARACTERS.values()):
+            self.kind[[ord(c) for c in chars]] = k + 1
+        every = [chr(c) for c in range(0x100)]
+        small = "".join(c for c in every if "a" <= c <= "z" or "à" <= c <= "ö" or "ø" <= c)
+        letters = small + "".join(c for c in every if "A" <= c <= "Z" or "À" <= c <= "Ö" or "Ø" <= c <= "ß")
+        self.letter, self.small = P.marked(letters), P.marked(small)
+        self.closing, self.before_mark = P.marked(letters + ")»"), P.marked(letters + "0123456789)»…")
+        self.mark, self.any_mark, self.fixed = P.marked("!?;"), P.marked("!?;:"), P.marked(T.NBSP + T.NNBSP + T.THIN)
+        self.path = P.marked("/0123456789")
+        self.broken = {"Â": "\u00a0«»", "Å": "\u201c", "Ã": "\u00a0¢¤§¨©ª«®¯´¶»¼"}
+        self.broken_third = P.marked("\u201c\u2122œ")
+        self.broken = {ord(c): P.marked(x) for c, x in self.broken.items()}
+        self.lig_bad, self.lig_good = P.Spellings(OE_NOUNS + OE_ONLY, True), P.Spellings([w.replace("oe", "œ") for w in OE_NOUNS], True)
+        self.caps_bad, self.caps_good = P.Spellings([w.translate(_PLAIN) for w in ACCENTED], False), P.Spellings(ACCENTED, False)
+        self.after_a = P.Spellings([w for w in AFTER_A if "~" not in w], False)
+        self.peu, self.pres = P.Spellings(["peu"], False), P.Spellings(["près"], False)
+
+    @classmethod
+    def one(cls) -> "_Tables":
+        cls._one = cls._one or cls()
+        return cls._one
+
+
+def _alternate(at: np.ndarray, apart: int) -> np.ndarray:
+    """The places of matches of which none begins where the one before it ends: in a chain of them, every second."""
+    if not len(at):
+        return at
+    head = np.flatnonzero(np.diff(at, prepend=at[0] - apart - 1) != apart)
+    return at[(np.arange(len(at)) - np.repeat(head, np.diff(np.append(head, len(at))))) % 2 == 0]
+
+
+def count_texts(texts: list[str]) -> np.ndarray:
+    """(texts, counters of TEXT_COUNTERS), what text_counters gives."""
+    t, p = _Tables.one(), P.Points(texts)
+    c, n = p.code, p.n
+    out: dict[str, np.ndarray] = {"chars": p.length}
+    kind = t.kind[c]
+    at = np.flatnonzero(kind)
+    doc = np.searchsorted(p.first, at, "right") - 1
+    kinds = np.bincount(doc * (len(t.kinds) + 1) + kind[at], minlength=n * (len(t.kinds) + 1)).reshape(n, -1)
+    out |= {name: kinds[:, k + 1] for k, name in enumerate(t.kinds)}
+    places = lambda found: p.per_text(np.flatnonzero(found))
+    one, two = c[1:], c[2:]
+    dot = np.flatnonzero(np.diff((c == 46).astype(np.int8)))
+    out["ellipsis_dots"] = p.per_text(dot[::2][dot[1::2] - dot[::2] == 3] + 1)
+    fixed, any_mark, mark = t.fixed[c], t.any_mark[c], t.mark[c]
+    out["punct_nbsp"] = places(fixed[:-1] & any_mark[1:])
+    gap, colon = c == 32, c == 58
+    out["punct_space"] = places(t.before_mark[c[:-2]] & gap[1:-1] & mark[2:]) + places(t.closing[c[:-2]] & gap[1:-1] & colon[2:])
+    letter = t.letter[c]
+    out["punct_none"] = places(letter[:-1] & mark[1:]) + places(letter[:-2] & colon[1:-1] & ~t.path[two])
+    opens, closes, space = c == 0xAB, c == 0xBB, P.lookup()["space"][c]
+    out["guil_in_nbsp"] = places(opens[:-1] & fixed[1:]) + places(fixed[:-1] & closes[1:])
+    out["guil_in_space"] = places(opens[:-1] & gap[1:]) + places(gap[:-1] & closes[1:])
+    tight = np.flatnonzero(opens[:-1] & ~space[1:]), np.flatnonzero(~space[:-1] & closes[1:])
+    out["guil_in_none"] = sum(p.per_text(_alternate(x, 1)) for x in tight)
+    broken = c == 0xFFFD
+    for first, table in t.broken.items():
+        broken[:-1] |= (c[:-1] == first) & table[one]
+    broken[:-2] |= (c[:-2] == 0xE2) & (c[1:-1] == 0x20AC) & t.broken_third[two]
+    out["mojibake"] = places(broken)
+    h = p.hashes(p.start, p.end)
+    words = lambda hit: p.per_text(p.start[hit])
+    out["lig_bad"], out["lig_good"] = words(t.lig_bad(p, h)), words(t.lig_good(p, h))
+    alone = lambda ch: (p.end - p.start == 1) & (c[p.start] == ord(ch))
+    # an A, one space, then one of the words
+    near = np.zeros(len(h) + 2, bool)
+    near[: max(0, len(h) - 1)] = (p.start[1:] == p.end[:-1] + 1) & gap[p.end[:-1]]
+    at_a = np.flatnonzero(alone("A") & near[: len(h)])
+    after, peu, pres = (np.append(x(p, h), [False, False]) for x in (t.after_a, t.peu, t.pres))
+    before = at_a[after[at_a + 1] | (peu[at_a + 1] & near[at_a + 1] & pres[at_a + 2])]
+    out["caps_bad"] = words(t.caps_bad(p, h)) + p.per_text(p.start[before])
+    out["caps_good"] = words(t.caps_good(p, h) | alone("À"))
+    small = t.small[c]
+    out["hyphen_residue"] = p.per_text(_alternate(np.flatnonzero(small[:-3] & (c[1:-2] == 45) & gap[2:-1] & small[3:]), 3))
+    return np.stack([out[name] for name in TEXT_COUNTERS], 1)
+
+
+@F.pandas_udf(StructType([StructField(name, LongType()) for name in ["chars", *CHARACTERS, *PATTERNS]]))
+def counted(texts: pd.Series) -> pd.DataFrame:
+    """TEXT_COUNTERS of each text, those of a null text 0: one Arrow pass over code points instead of some twenty regular expressions."""
+    parts = [count_texts(part) for part in P.chunks([t or "" for t in texts])]
+    return pd.DataFrame(np.concatenate(parts) if parts else np.zeros((0, len(TEXT_COUNTERS)), np.int64), columns=TEXT_COUNTERS)
+
+
 def dialogue_counters(markup: T.Text) -> dict[str, Column]:
     """The dashes that begin paragraphs, by kind."""
     dashes = F.transform(F.regexp_extract_all(T.col(markup), F.lit(DIALOGUE), F.lit(1)), F.lower)
@@ -90,22 +190,18 @@ def dialogue_counters(markup: T.Text) -> dict[str, Column]:
     return {name: among(*forms) for name, forms in DASHES.items()}
 
 
-def _sums(names: list[str]) -> list[Column]:
-    return [F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(n) for n in names]
-
-
 def audit_texts(docs: DataFrame, book: list[str], text: str = "text") -> DataFrame:
     """A row for each book (the columns that name it) of plain texts, dialogue counters 0; only counters are shuffled."""
-    each = docs.select(*book, T.col(text).alias("__t")).withColumn("__marks", marks_of("__t"))
-    each = each.select(*book, *[c.alias(n) for n, c in text_counters("__t", True).items()])
-    return each.groupBy(*book).agg(F.count("*").cast("int").alias("n_docs"), *_sums(TEXT_COUNTERS)).select("*", *[F.lit(0).cast("long").alias(n) for n in DIALOGUE_COUNTERS])
+    each = docs.select(*book, counted(T.col(text)).alias("__c"))
+    sums = [F.coalesce(F.sum(f"__c.{n}"), F.lit(0)).cast("long").alias(n) for n in TEXT_COUNTERS]
+    return each.groupBy(*book).agg(F.count("*").cast("int").alias("n_docs"), *sums).select("*", *[F.lit(0).cast("long").alias(n) for n in DIALOGUE_COUNTERS])
 
 
 def audit_markup(docs: DataFrame, book: list[str], markup: str = "html") -> DataFrame:
     """A row for each book of marked-up documents: all 29 counters."""
-    each = docs.select(*book, T.col(markup).alias("__m")).withColumn("__t", T.text_audit("__m")).withColumn("__marks", marks_of("__t"))
-    each = each.select(*book, *[c.alias(n) for n, c in (text_counters("__t", True) | dialogue_counters("__m")).items()])
-    return each.groupBy(*book).agg(F.count("*").cast("int").alias("n_docs"), *_sums(COUNTERS))
+    each = docs.select(*book, counted(T.text_audit(markup)).alias("__c"), F.struct(*[c.alias(n) for n, c in dialogue_counters(markup).items()]).alias("__d"))
+    names = [*(f"__c.{n}" for n in TEXT_COUNTERS), *(f"__d.{n}" for n in DIALOGUE_COUNTERS)]
+    return each.groupBy(*book).agg(F.count("*").cast("int").alias("n_docs"), *[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in zip(COUNTERS, names)])
 
 
 #: kinds of container entries, the first that fits counts

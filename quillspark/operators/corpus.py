@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,12 +22,38 @@ FRONT_MATTER = "cover|titlepage|copyright|nav|toc"
 # --- lexicon -------------------------------------------------------------------------------------
 
 
+FLUSH = 500_000  # distinct words that a task holds before it passes them on
+
+
 def lexicon(docs: DataFrame, book: list[str], text: str = "text", min_books: int = MIN_BOOKS) -> DataFrame:
     """word, books: forms found in at least min_books books; text is lower-cased here.
 
-    Each document gives its distinct forms; a form is counted once a book."""
-    low = F.replace(F.lower(F.col(text)), F.lit("’"), F.lit("'"))
-    forms = docs.select(*book, F.explode(F.array_distinct(F.regexp_extract_all(low, F.lit(LEXICON_WORD), F.lit(0)))).alias("word")).distinct()
+    Each task passes on a word of a book once, however many documents hold it; a form is counted once a book."""
+    kinds = dict(docs.dtypes)
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in book), "word string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[tuple, set[str]] = {}
+        kind: list[pa.DataType] = []
+        cut = re.compile(LEXICON_WORD).findall
+
+        def flush() -> pa.RecordBatch:
+            rows = [(*k, w) for k, ws in found.items() for w in ws]
+            found.clear()
+            types = [*kind, pa.string()]
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], [*book, "word"])
+
+        for b in batches:
+            kind = [b.column(i).type for i in range(len(book))]
+            for *k, t in zip(*(c.to_pylist() for c in b.columns)):
+                if t:
+                    found.setdefault(tuple(k), set()).update(cut(t.lower().replace("’", "'")))
+            if sum(map(len, found.values())) > FLUSH:
+                yield flush()
+        if found:
+            yield flush()
+
+    forms = docs.select(*book, F.col(text).alias("__t")).mapInArrow(run, schema).distinct()
     return forms.groupBy("word").agg(F.count("*").alias("books")).filter(F.col("books") >= min_books)
 
 

@@ -266,6 +266,30 @@ def anomaly_counts() -> str:
     return f"with {damaged_parts()} {each}"
 
 
+def anomaly_rows(words: str, lexicon: str) -> str:
+    """Records of damaged documents, with context, of the detectors whose places the parts of a text tell; words: unknown words (source, word)."""
+    low2 = f"{LOW}{{2,}}"
+    norm = lambda x: f"regexp_replace(replace(lower(nfc_normalize({x})), '’', {quoted(chr(39))}), {quoted(anomalies.ELIDED)}, '')"
+    cut = lambda p: f"regexp_extract_all(t, {quoted(p)})"
+    token, dots = anomalies.WORD, r"\.{4,}"
+    size = lambda x: f"coalesce(list_sum(list_transform({x}, lambda x: length(x))), 0)"
+    return f"""
+with {damaged_parts()},
+f as (select source, doc_id, t, gaps, forms, unnest(range(1, len(forms) + 1)) as i from (select source, doc_id, t, string_split_regex(t, {quoted(token)}) as gaps, {cut(token)} as forms from d)),
+u as (select f.source, doc_id, t, 'mot_inconnu' as type, forms[i] as extrait, ({size('gaps[:i]')} + {size('forms[:i - 1]')})::int as pos, null::varchar as suggestion from f join ({words}) w on w.source = f.source and w.word = {norm('forms[i]')}),
+x as (select source, doc_id, t, l, unnest(list_filter(range(1, len(l) + 1), lambda i: coalesce(regexp_full_match(l[i], '{low2}') and l[i + 1] = '- ' and regexp_full_match(l[i + 2], '{low2}'), false))) as i from d),
+c as (select source, doc_id, t, 'cesure_residuelle' as type, l[i] || '- ' || l[i + 2] as extrait, {size('l[:i - 1]')}::int as pos, case when {norm("l[i] || l[i + 2]")} in (select word from ({lexicon})) then l[i] || l[i + 2] end as suggestion from x),
+m as (select source, doc_id, t, 'abrev_m' as type, 'M ' || regexp_extract(l[i + 2], '^[A-ZÀ-Ö]{LOW}+') as extrait, {size('l[:i - 1]')}::int as pos, 'M. ' || regexp_extract(l[i + 2], '^[A-ZÀ-Ö]{LOW}+') as suggestion
+  from (select *, unnest(list_filter(range(1, len(l) + 1), lambda i: coalesce(l[i] = 'M' and l[i + 1] = ' ' and regexp_matches(l[i + 2], '^[A-ZÀ-Ö]{LOW}'), false))) as i from d)),
+g as (select source, doc_id, t, 'guillemet_desequilibre' as type, '« ×' || {chars('«')} || ' vs » ×' || {chars('»')} as extrait, 0 as pos, null as suggestion from d where {chars('«')} <> {chars('»')}),
+q as (select source, doc_id, t, 'quatre_points' as type, dots[i] as extrait, ({size('rest[:i]')} + {size('dots[:i - 1]')})::int as pos, '…' as suggestion
+  from (select *, unnest(range(1, len(dots) + 1)) as i from (select *, {cut(dots)} as dots, string_split_regex(t, {quoted(dots)}) as rest from d))),
+every_ as (select * from u union all select * from c union all select * from m union all select * from g union all select * from q),
+n as (select *, row_number() over (partition by source, type order by doc_id, pos) as k from every_)
+select source, doc_id, type, pos, case when type = 'guillemet_desequilibre' then '' else regexp_replace(substring(t, greatest(1, pos - {anomalies.CONTEXT} + 1), least(pos, {anomalies.CONTEXT})), '^[{BLANK}]+', '') end as avant, extrait,
+  case when type = 'guillemet_desequilibre' then '' else regexp_replace(substring(t, pos + length(extrait) + 1, {anomalies.CONTEXT}), '[{BLANK}]+$', '') end as apres, suggestion from n where k <= {anomalies.PER_TYPE}"""
+
+
 def doubled_words() -> str:
     """Runs of k equal small words are k / 2 doublings."""
     return f"""

@@ -27,7 +27,7 @@ def audit_stream(docs: DataFrame, key: list[str], text: str, out: str, checkpoin
             if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
                 raise
         carried = [c for c in batch.columns if c != text and c not in audit.TEXT_COUNTERS]
-        fresh.select(*carried, *[c.alias(n) for n, c in audit.text_counters(text).items()]).write.mode("append").parquet(out)
+        fresh.select(*carried, audit.counted(F.col(text)).alias("__c")).select(*carried, "__c.*").write.mode("append").parquet(out)
 
     return docs.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

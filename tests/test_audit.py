@@ -23,6 +23,18 @@ def test_text_counters(spark):
     assert c["mojibake"] == 2
 
 
+def test_one_pass_counts_what_the_expressions_count(spark, sf_dir):
+    hard = [
+        "", "a- b- c- d- e", "«««x»»»", "« « x » »", "x»»", "«", "»", "....", "... ...", "a:1 a:b a: b) :", "É ? à ! ? :", "Ã©Â«Â\u00a0Å“â€™â€œ\ufffd", "MANOEUVRES oeillets Coeur coEUR œil Œuvres manœuvrer",
+        "Ecole ECOLE Eclairage école A la A peu près A peu pres A  la À Àh Etre Etres Énormes Étatique", "A", "A la", "peu près A", "e\u0301cole E\u0301tat oeuvre\u0301", "\n\n«\n»", "😀 « 😀»", "a\u2009!b\u202f?c\u00a0:",
+    ]
+    rows = [(t,) for t in hard] + [(t * 3,) for t in hard] + [("x" * 400_000 + "! «a»",)]
+    df = spark.createDataFrame(rows, "text string").union(spark.read.parquet(f"{sf_dir}/documents.parquet").select(damaged("text").alias("text")))
+    native = df.select("text", *[c.alias(n) for n, c in audit.text_counters("text").items()])
+    one = df.select("text", audit.counted(F.col("text")).alias("c")).select("text", "c.*")
+    assert native.exceptAll(one).collect() == [] and one.exceptAll(native).collect() == []
+
+
 def test_dialogues(spark):
     html = "<p>— a</p><p><i>&#8212; b</i></p><p>&ndash; c</p><p> - d</p><p></p><p>x - y</p>"
     df = spark.createDataFrame([(html,)], "h string")
