@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -463,8 +462,7 @@ def container_roundtrip(pages):
 @query("select source, lang, count(*) as n_docs, sum(length(text))::bigint as chars, sum({b})::bigint as punct_none from documents group by source, lang".format(b=S.text_counters()["punct_none"].replace("(t,", "(text,")))
 def stream_audit(spark, sf_dir):
     """Documents as a stream, audited as they arrive; the result is read from what the stream appended."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{tempfile.gettempdir()}/quillspark-streams"
-    base = f"{shared}/stream-{uuid.uuid4().hex}"
+    base = f"{tables.shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     path = f"{sf_dir}/documents.parquet"
     table = spark.read.parquet(path)
     reader = spark.readStream.schema(table.schema)

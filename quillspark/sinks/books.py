@@ -144,3 +144,32 @@ def sample_files(samples: DataFrame, books: DataFrame) -> DataFrame:
 def lexicon_text(lexicon: DataFrame) -> DataFrame:
     """The words in order, for .write.text."""
     return lexicon.select("word").orderBy("word")
+
+
+# --- lines ----------------------------------------------------------------------------------------------
+
+
+def append_lines(df: DataFrame, folder: str, key: list[str]) -> None:
+    """Appends the rows to a folder of JSON lines, but for those whose key is there already: a run that is repeated goes on where it stopped."""
+    spark = df.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        kinds = dict(df.dtypes)
+        df = df.join(spark.read.json(folder, schema=", ".join(f"`{k}` {kinds[k]}" for k in key)), key, "left_anti")
+    df.write.mode("append").json(folder)
+
+
+def index_json(files: DataFrame, fields: list[str], order: list[str]) -> DataFrame:
+    """content: the index of written chapters or windows (chapter_files, window_files), a JSON array of the fields in order."""
+    row = F.struct(*[F.col(c) for c in order], F.to_json(F.struct(*fields)).alias("__j"))
+    return files.agg(F.concat(F.lit("["), F.array_join(F.transform(F.sort_array(F.collect_list(row)), lambda r: r["__j"]), ", "), F.lit("]")).alias("content"))
+
+
+def counters_in_order(totals: DataFrame, names: list[str]) -> DataFrame:
+    """name, n: the totals of the named columns, by name."""
+    return totals.agg(*[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names]).unpivot([], sorted(names), "name", "n").orderBy("name")
+
+
+def first_problems(fixed: DataFrame, order: list[str], limit: int = 10) -> DataFrame:
+    """The first problems of a run of the fixer, as its report shows them."""
+    return fixed.filter("problem is not null").orderBy(*order).limit(limit).select(*order, "problem")

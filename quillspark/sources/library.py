@@ -11,9 +11,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quillspark.functions import text as T
+from quillspark.operators.audit import COUNTERS
+
 INVENTORY = "id long, path string, name string, title string, authors string, readers string, lang_db string"
 ENTRY = "book_id long, ord int, name string, bytes binary, zdate array<int>"
 DOCS_ONLY = r"(?i)\.(?:xhtml|html|htm|opf|ncx)$"
+AUDIT = (
+    "id long, path string, name string, title string, authors string, readers string, lang_db string, size long, error string, lang_opf string, epub_version string, n_docs int, n_css int, n_fonts int, "
+    "n_images int, has_ncx boolean, has_nav boolean, fixed_layout boolean, encoding_issues int, " + ", ".join(f"{c} long" for c in COUNTERS)
+)
 CANDIDATE = "doc string, idx int, avant string, apres string"
 DECISION = "doc string, idx int, accentuer boolean"
 ANOMALY = "doc string, type string, avant string, extrait string, apres string, suggestion string"
@@ -109,4 +116,16 @@ def words(spark: SparkSession, path: str) -> DataFrame:
 
 
 def ids(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path).select(F.expr("try_cast(trim(value) as long)").alias("id")).dropna().distinct()
+    """id: the numbers of a list, one a line, each once and in order."""
+    return spark.read.text(path).select(F.expr("try_cast(trim(value) as long)").alias("id")).dropna().distinct().orderBy("id")
+
+
+def audits(spark: SparkSession, path: str) -> DataFrame:
+    """Audit records of JSON lines as sinks.books.append_lines writes them, the last of each book; fields that a record lacks are null."""
+    got = lines(spark, path, AUDIT)
+    return got.groupBy("id").agg(F.max_by(F.struct(*[c for c in got.columns if c not in ("id", "file", "block", "ord")]), F.struct("file", "block", "ord")).alias("r")).select("id", "r.*")
+
+
+def readable(docs: DataFrame, content: str = "bytes") -> DataFrame:
+    """docs without those whose content isn't UTF-8."""
+    return docs.filter(T.is_utf8(content))

@@ -1,16 +1,27 @@
-"""Parquet tables by folder and name."""
+"""Parquet tables by folder and name, and the folder that all executors share."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import os
+import tempfile
 
-SMALL = 64 << 20
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, folder: str, name: str, spread: bool = True) -> DataFrame:
-    """A table; one of under SMALL bytes, which may be a single row group and so a single task, is dealt out to all cores.
+    """A table; one whose files give fewer tasks than there are cores is dealt out to all of them, others are read as they lie.
 
-    The size is that of the files, known without reading them; a larger table is read as it lies, without a shuffle."""
+    What a query gives doesn't depend on it."""
     df = spark.read.parquet(f"{folder}/{name}.parquet")
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(spark.sparkContext.defaultParallelism) if spread and size < SMALL else df
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if spread and df.rdd.getNumPartitions() < cores else df
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; one of this machine only where Spark runs on it alone and none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(tempfile.gettempdir(), "quillspark")
