@@ -1,37 +1,44 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Each clause (words between punctuation marks or line ends) is a string over
-six word classes: insult, threat, target, negation, reporting word, other.
-Four sequential transducers rewrite it:
-
-    negation   a negation at most two words before an insult or threat voids it
-    reporting  after a reporting word, insults and threats to the clause's end count as quoted
-    target     an insult or threat up to three words after a target is aimed; a target up
-               to two words after one adds the same bonus; a threat without target is nothing
-    weights    maps the symbols that are left to weights and sums them
-
-They are composed into one deterministic transducer before any text is read;
-only clauses that hold an insult or threat are run through it, all clauses of
-a chunk side by side.  A document's score is the sum over its clauses, and it
-is toxic from ``threshold`` on.
-
-The insult class holds a fixed multilingual list and stems learned from
-labelled documents: prefixes of words that are so frequent in toxic
-documents and so rare in others that chance is ruled out at the level
-``alpha``, corrected for the number of prefixes looked at.  Learning reads at
-most ``max_labelled`` labelled documents, a documented bound.
+A text is cut into passages (at line ends, and at sentence ends that no
+quotation mark follows).  A passage is a string over word classes (insult,
+mild insult, threat, target, negation, reporting word, other) and marks
+(comma or bracket, colon, quotation mark, sentence end within).  Six
+sequential transducers rewrite it:
+
+    attribution  read from right to left: what stands in quotation marks before a
+                 reporting word ("...", he said) counts as quoted
+    negation     a negation at most two words before an insult or threat voids it
+    reported     after a reporting word, across commas, colons and an opening quotation mark, insults
+                 and threats count as quoted, until a quotation mark closes or the passage ends
+    target       marks insults and threats up to three words after a target as aimed, and
+                 tells the next two transducers of a target up to two words after one
+    insult       weighs an aimed insult, one without target, a target after one
+    threat       weighs an aimed threat; a threat without target is nothing
+
+The last five read from left to right and are composed into one deterministic
+transducer before any text is read.  Only passages that hold an insult or
+threat are run, all passages of a chunk side by side.  A document's score is
+the sum over its passages, and it is toxic from ``threshold`` on.
+
+Insults and threats are a fixed multilingual list; words that are insults in
+few places only (clown, jerk) are mild and weigh little unless aimed, or marked by the labels.  Insult
+stems are learned from labelled documents: prefixes of words that are so
+frequent in toxic documents and so rare in others that chance is ruled out at
+the level ``alpha``, corrected for the number of prefixes looked at.  Learning
+reads at most ``max_labelled`` labelled documents, a documented bound, on the
+executors; the driver gets counts by prefix.
 
 Defined results
-    null or empty text: score 0, no clause, not toxic.
-    labels null or empty: the fixed list alone.  Repeated labels of a document: the largest counts.
+    null or empty text: score 0, no clause, not toxic.  Very long texts: scored whole.
+    labels null or empty: the fixed list alone.  Repeated labels of a document: the largest counts.  Null labels don't count.
     repeated rows: each is scored by itself.  Extra columns: ignored by ``score``, kept by ``filter_clean``.
+    empty table: no row.  Ties can't occur: a score is a sum.
 """
 
 from __future__ import annotations
 
 import math
-import re
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -42,17 +49,20 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import kernel as K
 
-INSULTS = """idiot idiots idiotic moron morons moronic stupid loser losers scum trash clown clowns worthless pathetic
-disgusting imbecile dumbass jerk filth vermin dummkopf trottel abschaum vollidiot imbécile crétin connard ordure
-estúpido estúpida imbécil basura""".split()
+INSULTS = """idiot idiots moron morons scum imbecile dumbass vermin dummkopf trottel abschaum vollidiot imbécile crétin connard
+estúpido estúpida imbécil""".split()
 THREATS = """kill murder strangle destroy hurt stab töten umbringen erwürgen tuer étrangler poignarder matar
 estrangular apuñalar""".split()
 TARGETS = "you your yours yourself u ya dich dir dein deine euch vous votre toi ton usted ustedes tú tu tus".split()
 NEGATIONS = "not never no isn aren wasn don doesn nicht nie niemals kein keine ne pas jamais nunca jamás".split()
 REPORTS = """said says say told called calls wrote quoted claimed shouted sagte sagt nannte schrieb behauptete dit disait
 appelle appelait écrit dijo dice llamó escribió""".split()
-O, I, V, T, N, R = range(6)
-WEIGHTS = {"I": 0.6, "J": 1.2, "W": 1.5, "b": 0.6, "q": 0.1}
+MILD = """clown clowns jerk stupid pathetic trash filth loser losers disgusting moronic idiotic basura ordure worthless""".split()
+#: classes, by number, and their symbols; c, k, q, s: comma or bracket, colon, quotation mark, sentence end
+SYMBOLS = "OIMVTNRckqs"
+O, I, M, V, T, N, R, COMMA, COLON, QUOTE, STOP = range(len(SYMBOLS))
+MARKS = "ckqs"
+WEIGHTS = {"I": 0.6, "J": 1.2, "i": 0.2, "W": 1.5, "b": 0.6, "e": 1.0, "y": 0.1}
 THRESHOLD = 1.0
 MAX_LABELLED = 6000
 STEM = (3, 10)
@@ -89,49 +99,100 @@ class Transducer:
         return out
 
 
+def attribution(reach: int = 3) -> Transducer:
+    """Read from right to left.  States: plain; 1 to reach, so many words more until a quotation mark must come; the last, within the quotation."""
+    inside = reach + 1
+    rows = []
+    for s in range(reach + 2):
+        if s == inside:
+            row = {x: (inside, x) for x in "OTNRcks"} | {x: (inside, x.lower()) for x in "IMV"} | {"q": (0, "q")}
+        else:
+            step = max(0, s - 1)
+            row = {x: (step, x) for x in "OIMVTN"} | {x: (s, x) for x in "cs"} | {"k": (0, "k"), "R": (reach, "R"), "q": (inside if s else 0, "q")}
+        rows.append(row)
+    return Transducer(tuple(rows))
+
+
 def negation(reach: int = 2) -> Transducer:
+    """x: voided; marks end a negation's reach; i, m, v are quoted already."""
     rows = []
     for s in range(reach + 1):
-        nxt = max(0, s - 1)
-        hit = {x: ((0, "x") if s else (0, x)) for x in "IV"}
-        rows.append(hit | {"O": (nxt, "O"), "T": (nxt, "T"), "R": (nxt, "R"), "N": (reach, "O")})
+        step = max(0, s - 1)
+        rows.append({x: ((0, "x") if s else (0, x)) for x in "IMV"} | {x: (0, "x" if s else "y") for x in "imv"} | {x: (step, x) for x in "OTR"} | {x: (0, x) for x in MARKS} | {"N": (reach, "O")})
     return Transducer(tuple(rows))
 
 
-def reporting() -> Transducer:
-    plain = {x: (0, x) for x in "OTIVx"} | {"R": (1, "O")}
-    quoted = {x: (1, x) for x in "OTx"} | {"I": (1, "q"), "V": (1, "q"), "R": (1, "O")}
-    return Transducer((plain, quoted))
+def reported() -> Transducer:
+    """States: plain, after a reporting word, in the quotation after one."""
+    other = "OTxy"
+    plain = {x: (0, x) for x in other + "IMV" + MARKS} | {"R": (1, "O")}
+    after = {x: (1, x) for x in other + "cks"} | {x: (1, "y") for x in "IMV"} | {"R": (1, "O"), "q": (2, "q")}
+    quoted = {x: (2, x) for x in other + "cks"} | {x: (2, "y") for x in "IMV"} | {"R": (2, "O"), "q": (0, "q")}
+    return Transducer((plain, after, quoted))
 
 
 def target(before: int = 3, after: int = 2) -> Transducer:
-    """States: (words since the last target that still reach, kind and reach of the last hit without target)."""
-    states = [(t, k, a) for t in range(before + 1) for k in ("", "I", "V") for a in (range(1, after + 1) if k else (0,))]
-    index = {s: i for i, s in enumerate([(0, "", 0), *[s for s in states if s != (0, "", 0)]])}
+    """States: (words since the last target that still reach, words that a target may yet come after a hit).  a: the next hit is aimed; p: a target after a hit."""
+    index = {(t, h): t * (after + 1) + h for t in range(before + 1) for h in range(after + 1)}
     rows: list[dict] = [{} for _ in index]
-    for (t, k, a), i in index.items():
-        fade = (max(0, t - 1), k if a > 1 else "", a - 1 if a > 1 else 0)
-        for x in "Oxq":
-            rows[i][x] = (index[fade], x)
-        rows[i]["T"] = (index[before, "", 0], {"I": "b", "V": "W", "": "O"}[k])
-        rows[i]["I"] = (index[(fade[0], "", 0) if t else (0, "I", after)], "J" if t else "I")
-        rows[i]["V"] = (index[(fade[0], "", 0) if t else (0, "V", after)], "W" if t else "O")
+    for (t, h), i in index.items():
+        fade = index[max(0, t - 1), max(0, h - 1)]
+        rows[i] |= {x: (fade, x) for x in "Oxy"} | {x: (0, "O") for x in MARKS}
+        rows[i]["T"] = (index[before, 0], "p" if h else "O")
+        for x in "IMV":
+            rows[i][x] = (index[max(0, t - 1), 0], "a" + x) if t else (index[0, after], x)
     return Transducer(tuple(rows))
 
 
+def insult() -> Transducer:
+    """States: plain, aimed, after an insult, after a mild one.  J: aimed, b and e: a target after one."""
+    def row(aimed: bool, late: str) -> dict:
+        out = {x: ((2 if late == "b" else 3 if late == "e" else 0), x) for x in "Oxy"}
+        out |= {"a": (1, ""), "p": (0, late or "p"), "I": (0, "J") if aimed else (2, "I"), "M": (0, "J") if aimed else (3, "i"), "V": (0, "aV" if aimed else "V")}
+        return out
+
+    return Transducer((row(False, ""), row(True, ""), row(False, "b"), row(False, "e")))
+
+
+def threat() -> Transducer:
+    """States: plain, aimed, after a threat."""
+    rest = "OxyIJibe"
+    row = lambda s: {x: (2 if s == 2 and x in "Oxy" else 0, x) for x in rest} | {"a": (1, ""), "V": (0, "W") if s == 1 else (2, "O"), "p": (0, "W" if s == 2 else "O")}
+    return Transducer((row(0), row(1), row(2)))
+
+
 def grammar() -> Transducer:
-    return negation().compose(reporting()).compose(target())
+    """What is read from left to right, composed."""
+    return negation().compose(reported()).compose(target()).compose(insult()).compose(threat())
 
 
-def tables(g: Transducer) -> tuple[np.ndarray, np.ndarray]:
-    """Next state and weight, by state and class."""
-    step = np.zeros((len(g.arcs), 6), np.int16)
-    weight = np.zeros((len(g.arcs), 6))
-    for s, row in enumerate(g.arcs):
-        for c, x in enumerate("OIVTNR"):
-            step[s, c], out = row[x]
-            weight[s, c] = sum(WEIGHTS.get(o, 0) for o in out)
-    return step, weight
+QUOTED = {"i": "I", "m": "M", "v": "V"}
+
+
+@dataclass(frozen=True)
+class Machine:
+    """Both directions as arrays over the classes and, for the second, the quoted ones: next states, and output class or weight."""
+
+    back: np.ndarray
+    back_out: np.ndarray
+    step: np.ndarray
+    weight: np.ndarray
+
+
+def tables() -> Machine:
+    classes = SYMBOLS + "imv"
+    at = {x: k for k, x in enumerate(classes)}
+    back, step = attribution(), grammar()
+    b, bo = np.zeros((len(back.arcs), len(SYMBOLS)), np.int16), np.zeros((len(back.arcs), len(SYMBOLS)), np.int8)
+    for s, row in enumerate(back.arcs):
+        for c, x in enumerate(SYMBOLS):
+            b[s, c], bo[s, c] = row[x][0], at[row[x][1]]
+    f, w = np.zeros((len(step.arcs), len(classes)), np.int16), np.zeros((len(step.arcs), len(classes)))
+    for s, row in enumerate(step.arcs):
+        for c, x in enumerate(classes):
+            f[s, c], out = row[x]
+            w[s, c] = sum(WEIGHTS.get(o, 0) for o in out)
+    return Machine(b, bo, f, w)
 
 
 @dataclass
@@ -147,128 +208,209 @@ class Lexicon:
             h = w.span_hash(w.start[at], w.start[at] + n)
             out[at[K.in_sorted(h, keys) >= 0]] = I
         i = K.in_sorted(w.hash, self.words)
-        return np.where(i >= 0, self.classes[i], out) if len(self.words) else out
+        if not len(self.words):
+            return out
+        # a mild word that the labels mark is as strong as any
+        return np.where((i >= 0) & ~((out == I) & (self.classes[i] == M)), self.classes[i], out)
 
 
-def lexicon(stems: list[str] = ()) -> Lexicon:
+def lexicon() -> Lexicon:
     entries: dict[str, int] = {}
-    for c, words in ((I, INSULTS), (V, THREATS), (T, TARGETS), (N, NEGATIONS), (R, REPORTS)):
+    for c, words in ((I, INSULTS), (M, MILD), (V, THREATS), (T, TARGETS), (N, NEGATIONS), (R, REPORTS)):
         entries |= dict.fromkeys(words, c)
     h = K.hash_words(list(entries))
     order = np.argsort(h)
-    by: dict[int, list[str]] = {}
-    for s in stems:
-        by.setdefault(len(s), []).append(s)
-    return Lexicon(h[order], np.array(list(entries.values()), np.int8)[order], {n: np.sort(K.hash_words(x)) for n, x in by.items()})
-
-
-def learn_stems(texts: list[str], toxic: list[bool], alpha: float = 0.01) -> list[str]:
-    """Prefixes that mark toxic documents; none that extends another.
-
-    A prefix's evidence is the smaller of the number of toxic documents and
-    the number of different neighbourhoods (word before, word, word after) it
-    is seen in there, so that copies and shared passages count once.
-    """
-    docs, around = (Counter(), Counter()), Counter()
-    total = [0, 0]
-    contexts: set[int] = set()
-    prefixes = lambda w: (w[:k] for k in range(STEM[0], min(STEM[1], len(w)) + 1))
-    # toxic documents first: of the others only prefixes that those have are counted
-    for x in (True, False):
-        for t, bad in zip(texts, toxic):
-            if not t or bad != x:
-                continue
-            words = re.findall(r"[^\W\d_]+", t.lower())
-            total[x] += 1
-            seen = {p for w in set(words) for p in prefixes(w)}
-            docs[x].update(seen if x else seen & docs[1].keys())
-            for c in zip(["", *words], words, [*words[1:], ""]) if x else ():
-                h = hash(c)
-                if h not in contexts:
-                    contexts.add(h)
-                    around.update(prefixes(c[1]))
-    if not total[1] or not total[0]:
-        return []
-    tested = sum(1 for n in docs[1].values() if n > 1)
-    base = total[1] / sum(total)
-    good: dict[str, int] = {}
-    for p, n in docs[1].items():
-        n, c = min(n, around[p]), docs[0][p]
-        if n < 2 or c > 0.02 * n:
-            continue
-        share = (n - c) / n
-        divergence = n * (share * math.log(share / base) + ((1 - share) * math.log((1 - share) / (1 - base)) if c else 0))
-        if divergence > math.log(max(tested, 1) / alpha):
-            good[p] = n
-    found: set[str] = set()
-    for p in sorted(good, key=len):
-        if any(p.startswith(q) for q in found) or (len(p) > STEM[0] and p[:-1] in good):
-            continue
-        longer = p
+    return Lexicon(h[order], np.array(list(entries.values()), np.int8)[order], {})
+
+
+# --- stems ------------------------------------------------------------------------------------------
+
+
+def _prefixes(w: K.Words) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(length, words' indices, hash of the words' first characters, hash of one character less) for each length of a stem."""
+    for n in range(STEM[0], STEM[1] + 1):
+        at = np.flatnonzero(w.end - w.start >= n)
+        yield n, at, w.span_hash(w.start[at], w.start[at] + n), w.span_hash(w.start[at], w.start[at] + n - 1)
+
+
+def _toxic_prefixes(rows: DataFrame) -> DataFrame:
+    """n, h, up (hash of the prefix without its last character), docs, around: in how many toxic documents and different neighbourhoods a prefix is seen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b, part in K.text_chunks(batch.column("text").to_pylist()):
+                w = K.Words(part)
+                doc = np.asarray(batch.column("row").slice(a, b - a))[w.doc]
+                h = np.concatenate([[np.uint64(1)], w.hash, [np.uint64(1)]])
+                edge = np.concatenate([[-1], w.doc, [-1]])
+                left, right = np.where(edge[:-2] == w.doc, h[:-2], np.uint64(1)), np.where(edge[2:] == w.doc, h[2:], np.uint64(1))
+                around = K.mix(K.mix(left * np.uint64(31) + w.hash) * np.uint64(31) + right).astype(np.int64)
+                for n, at, x, up in _prefixes(w):
+                    rows_ = np.unique(np.stack([x.astype(np.int64), up.astype(np.int64), doc[at], around[at]]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(rows_.shape[1], n, np.int32)), *(pa.array(r) for r in rows_)], ["n", "h", "up", "doc", "around"])
+
+    found = rows.mapInArrow(run, "n int, h long, up long, doc long, around long")
+    by = ["n", "h", "up"]
+    docs = found.select(*by, "doc").distinct().groupBy(*by).agg(F.count("*").alias("docs"))
+    around = found.select(*by, "around").distinct().groupBy(*by).agg(F.count("*").alias("around"))
+    return docs.filter("docs > 1").join(around, by)
+
+
+def _clean_counts(rows: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """In how many of the documents each of the sorted prefix hashes is seen."""
+    shared = rows.sparkSession.sparkContext.broadcast(keys)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(shared.value), np.int64)
+        for batch in batches:
+            for _, _, part in K.text_chunks(batch.column("text").to_pylist()):
+                w = K.Words(part)
+                for _, at, x, _ in _prefixes(w):
+                    i = K.in_sorted(x, shared.value)
+                    pairs = np.unique(w.doc[at[i >= 0]] * np.int64(len(shared.value)) + i[i >= 0])
+                    total += np.bincount(pairs % max(1, len(shared.value)), minlength=len(shared.value))
+        seen = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["i", "c"])
+
+    got = rows.select("text").mapInArrow(run, "i long, c long").groupBy("i").agg(F.sum("c").alias("c")).toArrow()
+    out = np.zeros(len(keys), np.int64)
+    out[got.column("i").to_numpy()] = got.column("c").to_numpy()
+    return out
+
+
+def choose_stems(n: np.ndarray, h: np.ndarray, up: np.ndarray, seen: np.ndarray, clean: np.ndarray, toxic: int, others: int, alpha: float = 0.01) -> dict[int, np.ndarray]:
+    """Prefix hashes, by length, that mark toxic documents; none that extends another.
+
+    seen: a prefix's evidence, the smaller of the number of toxic documents and the number of different
+    neighbourhoods (word before, word, word after) it is seen in there, so that copies and shared passages count once;
+    clean: the number of other documents."""
+    if not toxic or not others or not len(h):
+        return {}
+    base = toxic / (toxic + others)
+    c = np.minimum(clean, seen)
+    share = (seen - c) / np.maximum(seen, 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        divergence = seen * (share * np.log(share / base) + np.where(c > 0, (1 - share) * np.log((1 - share) / (1 - base)), 0))
+    ok = (seen >= 2) & (clean <= 0.02 * seen) & (divergence > math.log(max(len(h), 1) / alpha))
+    good = {int(x): int(e) for x, e in zip(h[ok], seen[ok])}
+    longer: dict[int, list[int]] = {}
+    for x, u in zip(h[ok].tolist(), up[ok].tolist()):
+        longer.setdefault(u, []).append(x)
+    size = dict(zip(h[ok].tolist(), n[ok].tolist()))
+    found: dict[int, set[int]] = {}
+    for x, u in sorted(zip(h[ok].tolist(), up[ok].tolist())):
+        if size[x] > STEM[0] and u in good:
+            continue  # a shorter one stands for it
         while True:  # as long as one continuation keeps nearly all the evidence, it is part of the stem
-            more = [q for q in good if len(q) == len(longer) + 1 and q.startswith(longer) and good[q] >= 0.9 * good[longer]]
+            more = [y for y in longer.get(x, ()) if good[y] >= 0.9 * good[x]]
             if not more:
                 break
-            longer = max(more, key=lambda q: (good[q], q))
-        found.add(longer)
-    return sorted(found)
+            x = max(more, key=lambda y: (good[y], y))
+        found.setdefault(size[x], set()).add(x)
+    return {k: np.sort(np.array(list(v), np.int64).astype(np.uint64)) for k, v in found.items()}
 
 
 def fit(docs: DataFrame, labels: DataFrame | None, max_labelled: int = MAX_LABELLED) -> Lexicon:
     """The lexicon, its stems learned from at most max_labelled of the labelled documents."""
+    lex = lexicon()
     if labels is None:
-        return lexicon()
+        return lex
     by = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30))
     marks = labels.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")).dropna().groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = marks.count()
-    if n > max_labelled:
-        marks = marks.filter(by < int(max_labelled / n * (1 << 30))).limit(2 * max_labelled)
-    text = docs.select(F.col("doc_id").cast("long"), "text")
-    rows = text.join(F.broadcast(marks), "doc_id").select("text", "toxic").limit(4 * max_labelled).collect()
-    return lexicon(learn_stems([r[0] for r in rows], [r[1] > 0 for r in rows]))
-
-
-def clause_breaks(code: np.ndarray) -> np.ndarray:
-    """Marks code points that end a clause."""
-    return np.isin(code, np.frombuffer(".,;:!?\n\r…–—«»“”\"()".encode("utf-32-le"), np.uint32))
-
-
-def score_texts(texts: list[str], lex: Lexicon, step: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Score and number of scoring clauses of each text."""
+    if n > max_labelled:  # half as many again by the hash, then exactly so many in its order
+        marks = marks.filter(by < int(min(1, 1.5 * max_labelled / n) * (1 << 30))).orderBy(by, "doc_id").limit(max_labelled)
+    text = docs.select(F.col("doc_id").cast("long"), "text").filter("text <> ''")
+    rows = text.join(F.broadcast(marks), "doc_id").select("text", (F.col("toxic") > 0).alias("bad"), F.monotonically_increasing_id().alias("row"))
+    rows = K.saved(rows)  # the labelled texts, read once
+    sizes = {r[0]: r[1] for r in rows.groupBy("bad").count().collect()}
+    got = _toxic_prefixes(rows.filter("bad").select("text", "row")).toArrow()
+    col = lambda c: got.column(c).to_numpy()
+    h = col("h").astype(np.uint64)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    clean = _clean_counts(rows.filter("not bad"), h) if len(h) else np.zeros(0, np.int64)
+    seen = np.minimum(col("docs"), col("around"))[order]
+    lex.stems = choose_stems(col("n")[order], h.astype(np.int64), col("up")[order], seen, clean, sizes.get(True, 0), sizes.get(False, 0))
+    return lex
+
+
+# --- scores ------------------------------------------------------------------------------------------
+
+QUOTES = "«»“”„‟\"‹›"
+_KINDS = {COMMA: ",()[]–—…", COLON: ":", QUOTE: QUOTES, STOP: ".;!?"}
+_mark: list[np.ndarray] = []
+
+
+def mark_table() -> np.ndarray:
+    """The class of each code point that is a mark, -1 for a line end, else 0."""
+    if not _mark:
+        t = np.zeros(K.LIMIT + 1, np.int8)
+        for k, chars in _KINDS.items():
+            t[[ord(c) for c in chars]] = k
+        t[[10, 13]] = -1
+        _mark.append(t)
+    return _mark[0]
+
+
+def score_texts(texts: list[str], lex: Lexicon, m: Machine) -> tuple[np.ndarray, np.ndarray]:
+    """Score and number of scoring passages of each text."""
     w = K.Words(texts)
     cls = lex.classify(w)
     score, count = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-    hot = np.flatnonzero((cls == I) | (cls == V))
+    hot = np.flatnonzero((cls == I) | (cls == M) | (cls == V))
     if not len(hot):
         return score, count
-    breaks = np.cumsum(clause_breaks(w.codes.code))
-    clause = breaks[w.start]  # the line feed between texts parts their clauses too
-    starts = np.flatnonzero(np.diff(clause, prepend=-1))
-    ends = np.append(starts[1:], len(clause))
-    which = np.unique(np.searchsorted(starts, hot, "right") - 1)
-    at, end = starts[which].copy(), ends[which]
-    state, total = np.zeros(len(which), np.int64), np.zeros(len(which))
-    live = np.arange(len(which))
+    kind = mark_table()[w.codes.clipped()]
+    ends = kind == -1
+    # a sentence end before a quotation mark, or before the space before none, is within the passage
+    ends[:-1] |= (kind[:-1] == STOP) & (kind[1:] != QUOTE) & (kind[1:] != STOP)
+    ends[-1:] |= kind[-1:] == STOP
+    passage = np.cumsum(ends)
+    of = passage[w.start]
+    wanted = np.zeros(int(passage[-1]) + 1, bool)
+    wanted[of[hot]] = True
+    at = np.flatnonzero(wanted[of])
+    marks = np.flatnonzero(kind > 0)
+    marks = marks[wanted[passage[marks] - ends[marks]]]
+    place = np.concatenate([w.start[at], marks])
+    order = np.argsort(place, kind="stable")
+    symbol = np.concatenate([cls[at], kind[marks]])[order]
+    group = np.concatenate([of[at], passage[marks] - ends[marks]])[order]
+    first = np.flatnonzero(np.diff(group, prepend=-1))
+    last = np.append(first[1:], len(group))
+    if (symbol == R).any():  # from right to left, passages with a reporting word after a quotation
+        has = np.flatnonzero(np.bitwise_or.reduceat(np.where(symbol == R, 1, 0) | np.where(symbol == QUOTE, 2, 0), first) == 3)
+        pos, state = last[has] - 1, np.zeros(len(has), np.int64)
+        live = np.arange(len(has))
+        while len(live):
+            c = symbol[pos[live]]
+            symbol[pos[live]] = m.back_out[state[live], c]
+            state[live] = m.back[state[live], c]
+            pos[live] -= 1
+            live = live[pos[live] >= first[has[live]]]
+    pos, state, total = first.copy(), np.zeros(len(first), np.int64), np.zeros(len(first))
+    live = np.arange(len(first))
     while len(live):
-        c = cls[at[live]]
-        total[live] += weight[state[live], c]
-        state[live] = step[state[live], c]
-        at[live] += 1
-        live = live[at[live] < end[live]]
-    doc = w.doc[starts[which]]
+        c = symbol[pos[live]]
+        total[live] += m.weight[state[live], c]
+        state[live] = m.step[state[live], c]
+        pos[live] += 1
+        live = live[pos[live] < last[live]]
+    doc = np.searchsorted(w.codes.first, place[order][first], "right") - 1
     np.add.at(score, doc, total)
     np.add.at(count, doc, total > 0)
     return np.round(score, 6), count
 
 
-def _judge(batch: pa.RecordBatch, lex: Lexicon, step: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    got = [score_texts(part, lex, step, weight) for _, _, part in K.text_chunks(batch.column("text").to_pylist())]
+def _judge(batch: pa.RecordBatch, lex: Lexicon, m: Machine) -> tuple[np.ndarray, np.ndarray]:
+    got = [score_texts(part, lex, m) for _, _, part in K.text_chunks(batch.column("text").to_pylist())]
     return (np.concatenate([g[0] for g in got]), np.concatenate([g[1] for g in got])) if got else (np.zeros(0), np.zeros(0, np.int64))
 
 
 def score(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """doc_id, score, clauses, toxic for each row of docs (doc_id, text)."""
-    shared = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, max_labelled), *tables(grammar())))
+    shared = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, max_labelled), tables()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -280,7 +422,7 @@ def score(docs: DataFrame, labels: DataFrame | None = None, threshold: float = T
 
 def filter_clean(docs: DataFrame, labels: DataFrame | None = None, threshold: float = THRESHOLD, max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of docs, all columns, that aren't toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, max_labelled), *tables(grammar())))
+    shared = docs.sparkSession.sparkContext.broadcast((fit(docs, labels, max_labelled), tables()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -330,29 +330,118 @@ def test_character_map_longest_prefix_and_alignment():
 # --- 7 -----------------------------------------------------------------------------------------------------------
 
 
+def run_back(t, symbols):
+    return t.run(symbols[::-1])[::-1]
+
+
 def test_composition_equals_one_after_the_other():
-    a, b, c = toxicity.negation(), toxicity.reporting(), toxicity.target()
+    parts = [toxicity.negation(), toxicity.reported(), toxicity.target(), toxicity.insult(), toxicity.threat()]
     whole = toxicity.grammar()
-    for n in range(1, 6):
-        for s in itertools.product("OIVTNR", repeat=n):
-            s = "".join(s)
-            assert whole.run(s) == c.run(b.run(a.run(s)))
+    rng = np.random.default_rng(2)
+    every = ["".join(s) for n in range(1, 4) for s in itertools.product("OIMVTNRckqs", repeat=n)]
+    every += ["".join(rng.choice(list("OIMVTNRckqsimv"), n)) for n in rng.integers(4, 14, 3000)]
+    for s in every:
+        step = s
+        for p in parts:
+            step = p.run(step)
+        assert whole.run(s) == step
 
 
 def naive_score(text, sets):
+    """Rules stated over a list of words and marks, passage by passage, without any transducer."""
     total = 0.0
-    for clause in re.split(r"[.,;:!?\n\r…–—«»“”\"()]", text.lower()):
-        kinds = ["I" if w in sets[0] else "V" if w in sets[1] else "T" if w in sets[2] else "N" if w in sets[3] else "R" if w in sets[4] else "O" for w in WORD.findall(clause)]
-        total += sum(toxicity.WEIGHTS.get(x, 0) for x in toxicity.grammar().run("".join(kinds)))
+    marks = {**dict.fromkeys(",()[]–—…", "c"), ":": "k", **dict.fromkeys('«»“”"', "q"), **dict.fromkeys(".;!?", "s")}
+    for line in re.split(r"[\n\r]", text.lower()):
+        tokens = [(m[0], m.start()) for m in re.finditer(r"\w+|[,()\[\]–—…:«»“”\".;!?]", line)]
+        passages, now = [], []
+        for k, (x, at) in enumerate(tokens):
+            now.append("".join("I" if x in sets[0] else "M" if x in sets[5] else "V" if x in sets[1] else "T" if x in sets[2] else "N" if x in sets[3] else "R" if x in sets[4] else marks.get(x, "O")))
+            after = line[at + 1 : at + 2]
+            if marks.get(x) == "s" and marks.get(after) not in ("q", "s"):
+                passages.append(now)
+                now = []
+        for s in [*passages, now]:
+            quoted = [False] * len(s)
+            for i, x in enumerate(s):  # "...", he said
+                if x == "R":
+                    j, words_ = i - 1, 0
+                    while j >= 0 and s[j] not in "qkR" and words_ < 3:
+                        words_ += s[j] not in "cs"
+                        j -= 1
+                    if j >= 0 and s[j] == "q":
+                        opening = max((q for q in range(j) if s[q] == "q"), default=-1)
+                        for q in range(opening + 1, j):
+                            quoted[q] = True
+            state = 0
+            for i, x in enumerate(s):  # he said: "..."
+                if state == 0:
+                    state = 1 if x == "R" else 0
+                else:
+                    quoted[i] = True
+                    state = {("q", 1): 2, ("q", 2): 0}.get((x, state), state)
+            hits = {}
+            for i, x in enumerate(s):
+                if x in "IMV":
+                    back = []
+                    for y in reversed(s[:i]):
+                        if y in "ckqs" or len(back) == 2 or y in "IMV" or y == "N":
+                            back.append(y)
+                            break
+                        back.append(y)
+                    if len(back) <= 3 and "N" in back[:2]:
+                        continue
+                    hits[i] = "q" if quoted[i] else x
+            for i, x in hits.items():
+                if x == "q":
+                    total += 0.1
+                    continue
+                reach = [y for y in s[max(0, i - 3) : i]]
+                cut = max((k for k, y in enumerate(reach) if y in "ckqs"), default=-1)
+                aimed = "T" in reach[cut + 1 :]
+                after = []
+                for j in range(i + 1, min(len(s), i + 3)):
+                    if s[j] in "ckqs" or (j in hits and hits[j] != "q"):
+                        break
+                    after.append(s[j])
+                late = "T" in after and not aimed
+                total += {"I": 1.2 if aimed else 1.2 if late else 0.6, "M": 1.2 if aimed or late else 0.2, "V": 1.5 if aimed or late else 0}[x]
     return round(total, 6)
 
 
-def test_scores_by_clause():
-    sets = [set(x) for x in (toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS)]
-    cases = ["you idiot", "not an idiot", "he said you idiot, you moron", "i will kill you. kill time", "clown; trash you", "never stupid", "", "dit: tu idiot", "you are worthless and stupid"]
-    got, _ = toxicity.score_texts(cases, toxicity.lexicon(), *toxicity.tables(toxicity.grammar()))
-    assert got.tolist() == [naive_score(c, sets) for c in cases]
-    assert got[0] >= 1 and got[1] == 0 and got[3] >= 1 and got[8] >= 1
+def test_scores_by_rules():
+    sets = [set(x) for x in (toxicity.INSULTS, toxicity.THREATS, toxicity.TARGETS, toxicity.NEGATIONS, toxicity.REPORTS, toxicity.MILD)]
+    quoted = {
+        'He said: "you are an idiot"': 0.1, '"You idiot," he said': 0.1, '"You idiot!" he said.': 0.1, "he said you idiot, you moron": 0.2, "dit: tu idiot": 0.1, "He wrote “I will kill you” to her": 0.1,
+        'he said: "you idiot". you moron': 1.3, '"you are an idiot"': 1.2, "«Toi, imbécile», dit le roi": 0.1,
+    }
+    plain = {
+        "you idiot": 1.2, "not an idiot": 0, "i will kill you. kill time": 1.5, "a clown and a jerk walked into a bar. the clown was stupid": 0.8, "you clown": 1.2, "clown you say": 1.2, "idiot, you": 0.6,
+        "never stupid": 0, "": 0, "you are worthless and stupid": 1.4, "idiot idiot": 1.2, "kill the time": 0,
+    }
+    cases = quoted | plain
+    lex, m = toxicity.lexicon(), toxicity.tables()
+    got, _ = toxicity.score_texts(list(cases), lex, m)
+    assert dict(zip(cases, got.tolist())) == cases
+    assert [naive_score(c, sets) for c in cases] == got.tolist()
+    rng = np.random.default_rng(12)
+    bag = ["you", "idiot", "clown", "kill", "not", "said", "the", "cat", ",", ":", '"', "!", ". ", "\n", "moron", "he", "stupid"]
+    texts = [" ".join(rng.choice(bag, n)).replace(' "', '"') for n in rng.integers(1, 14, 400)]
+    got, _ = toxicity.score_texts(texts, lex, m)
+    for t, g in zip(texts, got.tolist()):
+        assert naive_score(t, sets) == pytest.approx(g), t
+
+
+def test_stems_are_learned_from_labels_only(spark):
+    bad = [f"word{i} zorgblat{'ing' * (i % 2)} thing{i * 7} every{i % 3}" for i in range(60)]
+    good = [f"word{i} common{i % 5} thing{i * 3} every{i % 3}" for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(bad + good)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i < 60)) for i in range(360)], "doc_id long, toxic int")
+    lex = toxicity.fit(docs, labels)
+    from quillspark.llm import kernel
+
+    found = {n: set(k.tolist()) for n, k in lex.stems.items()}
+    assert found == {8: {int(kernel.hash_words(["zorgblat"])[0])}}
+    assert toxicity.fit(docs, labels.limit(0)).stems == {} and toxicity.fit(docs, labels.filter("toxic = 1")).stems == {}
 
 
 def test_clean_labelled_documents_stay(spark):
@@ -512,9 +601,9 @@ def test_pipeline_stage_by_stage(spark, sf_dir, table, texts):
     labels = {}
     for r in table("labels").collect():
         labels[r["doc_id"]] = max(r["toxic"], labels.get(r["doc_id"], 0))
-    mine = [(texts[d], x > 0) for d, x in labels.items() if d in kept and x is not None]
-    lex = toxicity.lexicon(toxicity.learn_stems([t for t, _ in mine], [x for _, x in mine]))
-    score = lambda t: toxicity.score_texts([t], lex, *toxicity.tables(toxicity.grammar()))[0][0]
+    rest = table("documents").filter(table("documents").doc_id.isin(sorted(kept)))
+    lex = toxicity.fit(rest, table("labels"))
+    score = lambda t: toxicity.score_texts([t], lex, toxicity.tables())[0][0]
     kept = {d for d in kept if score(texts[d]) < toxicity.THRESHOLD}
     kept -= set(jaccard_groups({d: texts[d] for d in kept}, neardup.THRESHOLD))
     items = [words(r["text"]) for r in table("benchmark").collect()]
