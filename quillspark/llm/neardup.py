@@ -11,18 +11,28 @@ Chernoff-like concentration over the coordinates.
 Sketches are cut into bands.  Texts with the same shingle set are collapsed
 first, so that a group of thousands of copies is one representative in every
 bucket.  Within a bucket each representative is compared with the smallest
-one; the exact Jaccard similarity of the shingle sets decides.  The pairs of
-a bucket whose members are still in different components after that are
-compared in a second round, all of them.  Groups are thus the connected
-components of all verified pairs that share a bucket; no bucket is capped.
+one; the exact Jaccard similarity of the shingle sets decides.  Members of a
+bucket that are still in different components are then compared with each
+other: in a bucket of at most PAIRED members pair by pair, in a larger one
+where they share a shingle that is rare in the large buckets.  The rare
+shingles of a set are the first of it, in the order of their frequency, that
+any set similar enough must share one of, so no pair is lost; what many texts
+have in common, a passage or boilerplate, comes last in that order and joins
+none.  Groups are thus the connected components of all verified pairs that
+share a bucket; no bucket is capped, and none is gathered in one place.
+
+A row is known by two 64-bit hashes of its id and text, a shingle set by its
+size and two; within the graph representatives have numbers.
 
 Defined results
     null text: never a duplicate.  A text without words: compared by its
     characters, unless it is empty or blank, then never a duplicate.  Fewer
-    words than a shingle has: all its words are its one shingle.
-    ties: the smallest doc_id of a group stays.  Repeated rows (same doc_id and text): one stays.
+    words than a shingle has: all its words are its one shingle.  Very long texts: compared whole.
+    ties: the smallest doc_id of a group stays, of equal ids the row whose hash is smaller.
+    Repeated rows (same doc_id and text): one stays, whether they have words or not, if their text isn't null, empty or blank.
     Rows with the same doc_id and different texts are different documents; a null doc_id sorts last.
-    Extra columns: ignored by ``duplicates``, kept by ``deduplicate``.
+    ``duplicates`` has a row for each row that ``deduplicate`` drops.
+    Extra columns, of any name: ignored by ``duplicates``, kept by ``deduplicate``.  Empty table: no row.
 """
 
 from __future__ import annotations
@@ -31,7 +41,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillspark.llm import kernel as K
@@ -40,8 +50,8 @@ SHINGLE = 3
 BANDS = 40
 ROWS = 4
 THRESHOLD = 0.5
+PAIRED = 32
 _U = np.uint64
-NO_ID = (1 << 63) - 1  # stands for a null doc_id while minima are taken
 
 
 def shingle_sets(texts: list[str], n: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -112,31 +122,30 @@ def _set_hash(doc: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.nd
     return out[0], out[1], np.diff(first)
 
 
-def _row_key() -> "F.Column":
-    return F.xxhash64("doc_id", "text")
+def _row_key() -> list[Column]:
+    """Two hashes of a row's id and text."""
+    return [F.xxhash64(F.lit(seed), "doc_id", F.col("doc_id").isNull(), "text").alias(f"key{seed}") for seed in (1, 2)]
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), _row_key().alias("key"), "text")
+    return docs.select(F.col("doc_id").cast("long"), "text").select("doc_id", *_row_key(), "text")
 
 
 def sketches(docs: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, key, a, b, n (the shingle set's hash and size), bands of each document that has a shingle."""
+    """doc_id, key1, key2, a, b, n (the shingle set's hashes and size), bands of each document that has a shingle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys = batch.column("doc_id").to_numpy(zero_copy_only=False), batch.column("key").to_numpy(zero_copy_only=False)
             for lo, hi, part in K.text_chunks(batch.column("text").to_pylist()):
                 doc, h = shingle_sets(part, shingle)
                 a, b, n = _set_hash(doc, h, len(part))
                 has = np.flatnonzero(n)
                 s = band_hashes(sketch(doc, h, len(part), bands * rows)[has], bands).astype(np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[lo:hi][has]), pa.array(keys[lo:hi][has]), pa.array(a[has].astype(np.int64)), pa.array(b[has].astype(np.int64)), pa.array(n[has]), pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * bands), pa.array(s.ravel()))],
-                    ["doc_id", "key", "a", "b", "n", "bands"],
-                )
+                given = [batch.column(c).slice(lo, hi - lo).take(pa.array(has)) for c in ("doc_id", "key1", "key2")]
+                made = [pa.array(a[has].astype(np.int64)), pa.array(b[has].astype(np.int64)), pa.array(n[has]), pa.ListArray.from_arrays(pa.array(np.arange(len(has) + 1, dtype=np.int32) * bands), pa.array(s.ravel()))]
+                yield pa.RecordBatch.from_arrays(given + made, ["doc_id", "key1", "key2", "a", "b", "n", "bands"])
 
-    return _source(docs).filter("text is not null").mapInArrow(run, "doc_id long, key long, a long, b long, n long, bands array<long>")
+    return _source(docs).filter("text is not null").mapInArrow(run, "doc_id long, key1 long, key2 long, a long, b long, n long, bands array<long>")
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -171,6 +180,29 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.join(left, "u").join(right, "v").select("u", "v", "s", "t").mapInArrow(run, "u long, v long")
 
 
+def _sharing_rare(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """u, v: pairs of members (rep, root) of different roots that share one of each other's rare shingles.
+
+    Of a set of n, those but the last ceil(threshold * n) - 1 in the order of frequency: sets that are similar enough have
+    ceil(threshold * n) at least in common, so not all of those are among its last ones, and the first they share, in an
+    order that is the same for both, is among the rare ones of both."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            got = [np.frombuffer(x, np.int64) for x in b.column("shingles").to_pylist()]
+            n = np.fromiter(map(len, got), np.int64, len(got))
+            cols = [pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("rep", "root")]
+            yield pa.RecordBatch.from_arrays([*cols, pa.array(np.concatenate(got) if got else np.zeros(0, np.int64)), pa.array(np.repeat(n, n))], ["rep", "root", "h", "n"])
+
+    rows = members.join(sets, "rep").select("rep", "root", "shingles").mapInArrow(explode, "rep long, root long, h long, n long")
+    counts = rows.groupBy("h").agg(F.count("*").alias("c"), (F.min("root") != F.max("root")).alias("mixed"))
+    order = Window.partitionBy("rep").orderBy("c", "h")
+    ranked = rows.join(counts, "h").withColumn("place", F.row_number().over(order))
+    rare = ranked.filter(F.col("mixed") & (F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)).select("h", "rep", "root")
+    left, right = rare.select("h", F.col("rep").alias("u"), F.col("root").alias("ru")), rare.select("h", F.col("rep").alias("v"), F.col("root").alias("rv"))
+    return left.join(right, "h").filter("ru < rv").select("u", "v").distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component) for the nodes of edges u, v: alternating large and small stars."""
     e = K.saved(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u > v").distinct())
@@ -190,49 +222,60 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _groups(docs: DataFrame, shingle: int, bands: int, rows: int, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """The members (doc_id, key, rep: the smallest key of their shingle set, root: that of their group) of all groups of two or more; the sketch rows."""
+def _groups(docs: DataFrame, shingle: int, bands: int, rows: int, threshold: float, paired: int = PAIRED) -> tuple[DataFrame, DataFrame]:
+    """The members (doc_id, key1, key2, root: the number of their group) of all groups of two rows or more; the sketch rows."""
     every = K.saved(sketches(docs, shingle, bands, rows))
-    small = every.select("doc_id", "key", "a", "b", "n")
-    reps = K.saved(every.groupBy("a", "b", "n").agg(F.min(F.struct("doc_id", "key")).alias("r"), F.count("*").alias("copies"), F.first("bands").alias("bands")).select("a", "b", "n", F.col("r.doc_id").alias("rep_doc"), F.col("r.key").alias("rep"), "copies", "bands"))
-    buckets = reps.select(F.explode("bands").alias("band"), "rep").groupBy("band").agg(F.sort_array(F.collect_set("rep")).alias("m")).filter("size(m) > 1")
-    buckets = K.saved(buckets.select("m").distinct())
-    star = K.saved(buckets.select(F.col("m")[0].alias("u"), F.explode(F.expr("slice(m, 2, size(m) - 1)")).alias("v")).distinct())
-    nodes = star.select(F.col("u").alias("rep")).union(star.select("v")).distinct()
+    small = every.select("doc_id", "key1", "key2", "a", "b", "n")
+    reps = every.groupBy("a", "b", "n").agg(F.min(F.struct("key1", "key2")).alias("k"), F.count("*").alias("copies"), F.first("bands").alias("bands"))
+    # numbered as they are stored, so that the numbers stay
+    reps = K.saved(reps.select("a", "b", "n", "k.key1", "k.key2", "copies", "bands", F.monotonically_increasing_id().alias("rep")))
+    placed = reps.select(F.explode("bands").alias("band"), "rep")
+    least = placed.groupBy("band").agg(F.min("rep").alias("u"), F.count("*").alias("size")).filter("size > 1")
+    buckets = K.saved(placed.join(least, "band").select("band", "size", "u", F.col("rep").alias("v")))
+    star = K.saved(buckets.filter("u <> v").select("u", "v").distinct())
+    nodes = buckets.select(F.col("v").alias("rep")).distinct().join(reps.select("rep", "key1", "key2"), "rep")
     # one row for each representative even where rows repeat
-    sets = K.saved(_sets(_source(docs).select(F.col("key").alias("rep"), "text").join(nodes, "rep", "left_semi"), shingle).groupBy("rep").agg(F.first("shingles").alias("shingles")))
+    sets = K.saved(_sets(_source(docs).join(nodes, ["key1", "key2"]).select("rep", "text"), shingle).groupBy("rep").agg(F.first("shingles").alias("shingles")))
     edges = K.saved(_verified(star, sets, threshold))
     comp = K.saved(components(edges))
-    open_ = buckets.select(F.xxhash64("m").alias("bucket"), F.explode("m").alias("rep")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", F.coalesce("root", "rep").alias("root"))
-    mixed = open_.groupBy("bucket").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.sort_array(F.collect_list(F.struct("rep", "root"))).alias("m")).filter("x <> y")
-    rest = mixed.select(F.explode("m").alias("p"), "m").select(F.col("p.rep").alias("u"), F.explode(F.expr("filter(m, q -> q.rep > p.rep and q.root <> p.root)")).alias("q")).select("u", F.col("q.rep").alias("v")).distinct()
-    rest = rest.join(star, ["u", "v"], "left_anti")
+    rooted = buckets.select("band", "size", F.col("v").alias("rep")).join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("band", "size", "rep", F.coalesce("root", "rep").alias("root"))
+    mixed = rooted.groupBy("band").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x <> y").select("band")
+    open_ = K.saved(rooted.join(mixed, "band"))
+    few = open_.filter(F.col("size") <= paired)
+    rest = few.select("band", F.col("rep").alias("u"), F.col("root").alias("ru")).join(few.select("band", F.col("rep").alias("v"), F.col("root").alias("rv")), "band").filter("ru < rv").select("u", "v")
+    rest = rest.unionByName(_sharing_rare(open_.filter(F.col("size") > paired).select("rep", "root").distinct(), sets, threshold)).distinct()
+    rest = rest.join(star, (F.greatest(rest.u, rest.v) == star.v) & (F.least(rest.u, rest.v) == star.u), "left_anti")
     more = K.saved(_verified(rest, sets, threshold))
     if more.limit(1).count():
         comp = K.saved(components(edges.union(more)))
-    named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", "n", "rep", F.coalesce("root", "rep").alias("root"), "copies", F.col("root").isNotNull().alias("near"))
+    named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select("a", "b", "n", F.coalesce("root", "rep").alias("root"), "copies", F.col("root").isNotNull().alias("near"))
     named = named.filter("near or copies > 1")
-    return small.join(named, ["a", "b", "n"]).select("doc_id", "key", "root"), every
+    return small.join(named, ["a", "b", "n"]).select("doc_id", "key1", "key2", "root"), every
+
+
+_ORDER = ["doc_id is null", "doc_id", "key1", "key2"]
+
+
+def _dropped(docs: DataFrame, *how) -> DataFrame:
+    """doc_id, key1, key2, kept_id, copies (rows of these keys), same (its own group's keeper): each different row of a group."""
+    members, _ = _groups(docs, *how)
+    rows = members.groupBy("doc_id", "key1", "key2", "root").agg(F.count("*").alias("copies"))
+    keep = rows.groupBy("root").agg(F.min(F.struct(*map(F.expr, _ORDER))).alias("k")).select("root", F.col("k.doc_id").alias("kept_id"), F.col("k.key1").alias("k1"), F.col("k.key2").alias("k2"))
+    return rows.join(keep, "root").select("doc_id", "key1", "key2", "kept_id", "copies", ((F.col("key1") == F.col("k1")) & (F.col("key2") == F.col("k2"))).alias("same"))
 
 
 def duplicates(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, duplicate_of: each document that goes, with the one of its group that stays."""
-    members, _ = _groups(docs, shingle, bands, rows, threshold)
-    members = K.saved(members.distinct())
-    keep = members.groupBy("root").agg(F.min("doc_id").alias("duplicate_of"))
-    out = members.join(keep, "root").filter("doc_id <> duplicate_of").select(F.nullif("doc_id", F.lit(NO_ID)).alias("doc_id"), "duplicate_of")
-    return out.distinct()
+    """doc_id, duplicate_of: each row that goes, with the doc_id of the one of its group that stays."""
+    gone = _dropped(docs, shingle, bands, rows, threshold).withColumn("times", F.col("copies") - F.col("same").cast("int")).filter("times > 0")
+    return gone.select("doc_id", F.col("kept_id").alias("duplicate_of"), F.explode(F.sequence(F.lit(1), "times")).alias("_")).drop("_")
 
 
 def deduplicate(docs: DataFrame, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """docs, all columns, with one document of each group of near-duplicates."""
-    members, every = _groups(docs, shingle, bands, rows, threshold)
-    members = K.saved(members.distinct())
-    keep = members.groupBy("root").agg(F.min(F.struct("doc_id", "key")).getField("key").alias("kept"))
-    gone = members.join(keep, "root").filter("key <> kept").select(F.col("key").alias("__key"))
-    again = K.saved(every.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select(F.col("key").alias("__key")))
-    tagged = docs.withColumn("__key", _row_key())
-    left = tagged.join(gone, "__key", "left_anti")
-    if again.limit(1).count():
-        left = left.join(again, "__key", "left_anti").unionByName(left.join(again, "__key", "left_semi").dropDuplicates(["__key"]))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows_ = K.saved(_dropped(docs, shingle, bands, rows, threshold).filter("not same or copies > 1").select("key1", "key2", "same"))
+    packed = docs.select(F.struct("*").alias("row"), *[F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), F.col("doc_id").isNull(), "text").alias(f"key{seed}") for seed in (1, 2)])
+    gone, again = rows_.filter("not same").drop("same"), rows_.filter("same").drop("same")
+    left = packed.join(gone, ["key1", "key2"], "left_anti")
+    if again.limit(1).count():  # rows that repeat: one of them
+        left = left.join(again, ["key1", "key2"], "left_anti").unionByName(left.join(again, ["key1", "key2"], "left_semi").dropDuplicates(["key1", "key2"]))
+    return left.select("row.*")

@@ -110,11 +110,19 @@ def test_toxicity(spark, docs, tables):
     assert toxicity.score(docs.limit(0)).count() == 0
 
 
-def test_near_duplicates(docs):
-    kept = neardup.deduplicate(docs)
-    assert kept.columns == docs.columns
+def test_near_duplicates(spark, docs):
+    clash = docs.withColumn("__key", F.lit(7)).withColumn("key1", F.lit(8)).withColumn("row", F.lit("r"))
+    kept = neardup.deduplicate(clash)
+    assert kept.columns == clash.columns and {(r["__key"], r["key1"], r["row"]) for r in rows(kept)} == {(7, 8, "r")}
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in rows(kept)) == [(False, i) for i in (1, 2, 3, 4, 5, 6, 6)] + [(True, 0)]
-    assert neardup.duplicates(docs).count() == 0 and neardup.deduplicate(docs.limit(0)).count() == 0
+    assert [(r["doc_id"], r["duplicate_of"]) for r in rows(neardup.duplicates(docs))] == [(3, 3)]
+    assert neardup.duplicates(docs.limit(0)).count() == 0 and neardup.deduplicate(docs.limit(0)).count() == 0
+    t = " ".join(f"w{i}" for i in range(60))
+    near = [(1, t), (1, t + " more"), (None, t + " x"), (None, t + " y"), ((1 << 63) - 1, t + " z"), (5, "!!!"), (6, " !!! ")]
+    df = spark.createDataFrame(near, "doc_id long, text string")
+    left, gone = rows(neardup.deduplicate(df)), rows(neardup.duplicates(df))
+    assert len(left) + len(gone) == len(near)  # the two agree, of equal and null ids too
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, r["duplicate_of"]) for r in gone) == [(False, 1, 1), (False, 6, 5), (False, (1 << 63) - 1, 1), (True, 0, 1), (True, 0, 1)]
 
 
 def test_masked_lm(docs):
