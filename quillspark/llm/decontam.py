@@ -17,6 +17,8 @@ with its own pass over the documents, so that what is broadcast stays bounded.
 Defined results
     null or empty document or item text: no row.  An item with fewer words
     than an n-gram has is sought by all its words; it must match as a whole.
+    very long texts: searched whole; very long items: aligned whole, with fewer windows at a time.
+    empty tables: no row; without items ``remove_leaks`` keeps all documents.
     ties: of several equal alignments the first in the document.
     repeated rows: equal (doc_id, text) rows give one result row; a repeated
     item gives one row for each item_id.  Rows with the same doc_id and
@@ -42,6 +44,7 @@ SEED_WEIGHT = 4.0  # natural log: an n-gram in fewer than one of 55 documents su
 SEED_SHARE = 0.3  # of the summed weight of all n-grams of an item
 MIN_WEIGHT = 0.2
 MAX_WORDS = 200_000
+CELLS = 1 << 20  # words of windows aligned together
 MATCH, MISMATCH, GAP = 2, -1, -1
 
 
@@ -176,8 +179,13 @@ def search(texts: list[str], items: Items, weight: dict[int, np.ndarray], min_sc
         ok = length > 0
         d, it, start, length = d[ok], it[ok], start[ok], length[ok]
         order = np.argsort(length, kind="stable")
-        for a in range(0, len(order), 512):
-            o = order[a : a + 512]
+        a = 0
+        while a < len(order):
+            # windows in the order of their lengths: so many at a time that the table of them stays small
+            b = a + 1
+            while b < len(order) and b - a < 512 and (b - a + 1) * int(length[order[b]]) <= CELLS:
+                b += 1
+            o, a = order[a:b], b
             wide, tall = int(length[o].max()), int(items.sizes[it[o]].max())
             dw, iw = np.zeros((len(o), wide), np.uint64), np.zeros((len(o), tall), np.uint64)
             for r, k in enumerate(o):
@@ -185,7 +193,7 @@ def search(texts: list[str], items: Items, weight: dict[int, np.ndarray], min_sc
                 dw[r, : length[k]] = w.hash[p : p + length[k]]
                 iw[r, : items.sizes[it[k]]] = items.words[it[k]]
             # no alignment scores more than the item's words that the window has at all
-            common = ((dw[:, :, None] == iw[:, None, :]).any(1) & (iw != 0)).sum(1)
+            common = np.array([np.isin(iw[r, : items.sizes[it[k]]], dw[r]).sum() for r, k in enumerate(o)])
             may = common >= min_score * items.sizes[it[o]] - 1e-9
             o, dw, iw = o[may], dw[may], iw[may]
             if not len(o):
