@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quillspark.llm import cotrain, decontam, langid, licenses, maskedlm, mtree, neardup, spiece, tokenstore, toxicity
 from quillspark.sources import tables
@@ -28,6 +29,11 @@ def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.pack(_table(spark, sf_dir, "documents"))
 
 
+def op3_token_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's own rows decoded with the dictionary among them."""
+    return tokenstore.decode(tokenstore.pack(_table(spark, sf_dir, "documents"))).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text"), (F.col("n_tokens") > 0).alias("some"))
+
+
 def op4_quality_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
 
@@ -63,6 +69,7 @@ QUERIES = {
         op2_license_scan,
         op2_license_windows,
         op3_token_store,
+        op3_token_decode,
         op4_quality_cotraining,
         op5_exact_top_k,
         op6_sentencepiece,
@@ -72,4 +79,7 @@ QUERIES = {
         op10_language_id,
     )
 }
-ORACLE = {"op2_license_scan": licenses.sql(), "op5_exact_top_k": mtree.sql()}
+ORACLE = {
+    "op3_token_decode": "select doc_id, md5(text) as text, length(text) > 0 as some from documents",
+    "op2_license_scan": licenses.sql(), "op5_exact_top_k": mtree.sql(),
+}

@@ -66,14 +66,17 @@ def test_licenses(spark, docs):
 
 
 def test_token_store(docs):
-    got = rows(tokenstore.pack(docs))
-    assert len(got) == len(ROWS)
-    dictionary = tokenstore.fit(docs)
+    packed = tokenstore.pack(docs)
+    got = [r for r in rows(packed) if r["shard"] >= 0]
+    assert len(got) == len(ROWS) and len({r["dict_hash"] for r in rows(packed)}) == 1
+    dictionary = tokenstore.dictionary_of(packed)
     for r, src in zip(sorted(got, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, r["n_tokens"] or 0)), sorted(ROWS, key=lambda r: (r[0] is None, r[0] or 0, len(r[1] or "")))):
         ids = tokenstore.unpack(r["blob"], dictionary, expected=r["dict_hash"])
         assert (r["n_tokens"] is None) == (src[1] is None)
         assert tokenstore.tokenizer().decode(ids) == (src[1] or "")
-    assert tokenstore.pack(docs.limit(0)).count() == 0
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in rows(tokenstore.decode(packed))) == sorted((r[0] or 0, r[1] or "") for r in ROWS)
+    empty = tokenstore.pack(docs.limit(0))
+    assert [(r["shard"], r["blob"]) for r in rows(empty)] == [(-1, b"")] and tokenstore.decode(empty).count() == 0
 
 
 def test_cotraining(spark, docs, tables):
