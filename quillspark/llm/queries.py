@@ -46,6 +46,12 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spiece.encode(_table(spark, sf_dir, "documents"))
 
 
+def op6_sentencepiece_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encoded as they stand, without a map, and decoded again."""
+    encoded = spiece.encode(_table(spark, sf_dir, "documents"), normal=False)
+    return spiece.decode(encoded).select("doc_id", F.md5(F.encode("text", "UTF-8")).alias("text"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -73,6 +79,7 @@ QUERIES = {
         op4_quality_cotraining,
         op5_exact_top_k,
         op6_sentencepiece,
+        op6_sentencepiece_decode,
         op7_toxicity,
         op8_minhash_near_dedup,
         op9_masked_lm,
@@ -81,5 +88,6 @@ QUERIES = {
 }
 ORACLE = {
     "op3_token_decode": "select doc_id, md5(text) as text, length(text) > 0 as some from documents",
+    "op6_sentencepiece_decode": "select doc_id, md5(replace(text, '▁', ' ')) as text from documents",
     "op2_license_scan": licenses.sql(), "op5_exact_top_k": mtree.sql(),
 }

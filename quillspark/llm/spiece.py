@@ -1,9 +1,11 @@
 """SentencePiece encoding with offsets, and decoding.
 
 Normalisation is done here: at each position the longest prefix that the
-model's compiled character map (a double-array trie over UTF-8 bytes) knows is
+compiled character map (a double-array trie over UTF-8 bytes) knows is
 replaced, and for every byte of the result the source bytes it came from are
-recorded.  White space is then escaped and the dummy prefix set as the model
+recorded.  The map is the model's own or, for a model that has none, one of
+Unicode's compatibility composition compiled here (``compatibility``).  All
+places of a chunk where a rule may begin walk the trie together.  White space is then escaped and the dummy prefix set as the model
 says.  Pieces come from the library, run without any normalisation of its
 own on units between which no merge can happen, each different unit once;
 their byte spans are projected through the recorded alignment.
@@ -15,16 +17,21 @@ an empty one.
 Defined results
     null text: null ids, starts, ends, roundtrip.  Empty text: empty arrays, roundtrip true.
     unpaired surrogates can't occur in Spark strings.  Very long texts are encoded whole.
-    repeated rows: each is encoded.  Extra columns: ignored.
+    repeated rows: each is encoded.  Extra columns: ignored.  Empty table: no row.
+    characters that the map deletes: within the span of the piece before them.
     ``roundtrip`` says whether the decoded pieces give the normalised text; only a
     piece for unknown characters (models without byte fallback) can make it false.
 """
 
 from __future__ import annotations
 
+import os
 import struct
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -34,7 +41,7 @@ from pyspark.sql import functions as F
 
 from quillspark.llm import kernel as K
 
-MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+MODEL = os.path.join(os.environ.get("QUILLSPARK_TOKENIZERS", "/opt/tokenizers"), "piece_bpe_32k.model")
 SPACE = "▁"
 CACHE_UNITS = 250_000
 CHUNK = 1 << 18
@@ -77,34 +84,157 @@ class CharsMap:
 
 
 def compile_charsmap(rules: dict[str, str]) -> bytes:
-    """A compiled map of the rules; the trie's nodes are laid out one by one."""
-    pool, value = b"", {}
+    """A compiled map of the rules: the trie's nodes are laid out level by level, each at the first base where its children fit."""
+    pool, root = bytearray(), {}
     for k, v in sorted(rules.items()):
-        value[k.encode()] = len(pool)
+        node = root
+        for c in k.encode():
+            node = node.setdefault(c, {})
+        node[-1] = len(pool)
         pool += v.encode() + b"\0"
     units: dict[int, int] = {}
     taken, bases = {0}, set()
-
-    def place(prefix: bytes, node: int) -> None:
-        """Sets the children of the node that ends at unit `node`."""
-        kids = sorted({k[len(prefix)] for k in value if len(k) > len(prefix) and k.startswith(prefix)})
-        labels = ([0] if prefix in value else []) + kids
-        base = next(b for b in range(1, 1 << 21) if b not in bases and all((b ^ c) not in taken for c in labels) and (b ^ node) < 1 << 21)
+    cursor, queue = 1, [(root, 0)] if root else []
+    for node, at in queue:  # grows
+        labels = [0 if c < 0 else c for c in node]
+        tries, base = 0, cursor
+        while base in bases or any(base ^ c in taken for c in labels):
+            base += 1
+            tries += 1
+        if tries > 2000:  # what lies before is all but full
+            cursor = base - 1000
         bases.add(base)
         taken.update(base ^ c for c in labels)
-        offset = base ^ node
-        units[node] = units.get(node, 0) | (offset << 10) | (256 if prefix in value else 0)
-        if prefix in value:
-            units[base] = 0x80000000 | value[prefix]
-        for c in kids:
-            units[base ^ c] = c
-        for c in kids:
-            place(prefix + bytes([c]), base ^ c)
-
-    if value:
-        place(b"", 0)
+        units[at] = units.get(at, 0) | ((base ^ at) << 10) | (256 if -1 in node else 0)
+        for c, child in node.items():
+            if c < 0:
+                units[base] = 0x80000000 | child
+            else:
+                units[base ^ c] = c
+                queue.append((child, base ^ c))
     size = (max(units, default=0) | 255) + 1
-    return struct.pack("<I", 4 * size) + struct.pack(f"<{size}I", *(units.get(i, 0) for i in range(size))) + pool
+    if size > 1 << 21:
+        raise ValueError("too many rules for a compiled map")
+    return struct.pack("<I", 4 * size) + struct.pack(f"<{size}I", *(units.get(i, 0) for i in range(size))) + bytes(pool)
+
+
+@lru_cache(maxsize=1)
+def compatibility() -> bytes:
+    """The compiled map of Unicode's compatibility composition (NFKC): characters that it replaces, pairs that it composes; zero-width spaces go, line feeds and tabs stay."""
+    rules: dict[str, str] = {}
+    for i in range(0x80, sys.maxunicode + 1):
+        c = chr(i)
+        if 0xD800 <= i <= 0xDFFF or 0xAC00 <= i <= 0xD7A3 or unicodedata.category(c) in ("Cn", "Co"):
+            continue
+        n = unicodedata.normalize("NFKC", c)
+        if n != c:
+            rules[c] = n
+        d = unicodedata.normalize("NFD", c)
+        pair = unicodedata.decomposition(c)
+        if n == c and len(d) > 1 and pair and not pair.startswith("<"):
+            rules[d] = c
+            two = "".join(chr(int(x, 16)) for x in pair.split())
+            if len(two) > 1:
+                rules[two] = c
+    for c in "\u200b\ufeff":
+        rules[c] = ""
+    return compile_charsmap(rules)
+
+
+class Walker:
+    """A compiled map over many texts at once."""
+
+    def __init__(self, chars: CharsMap):
+        self.units = np.array(chars.units, np.uint32)
+        self.pool = np.frombuffer(chars.pool, np.uint8)
+        self.zero = np.flatnonzero(self.pool == 0)
+        # which code points are rules by themselves, begin longer ones, come second in them
+        self.alone, self.begins, self.second = (np.zeros(K.LIMIT + 1, bool) for _ in range(3))
+        stack = [(b"", 0)]
+        while stack:
+            prefix, node = stack.pop()
+            unit = chars.units[node]
+            base = node ^ ((unit >> 10) << ((unit & 512) >> 6))
+            if unit >> 8 & 1 and prefix:
+                key = prefix.decode()
+                head = min(ord(key[0]), K.LIMIT)
+                if len(key) == 1:
+                    self.alone[head] = True
+                else:
+                    self.begins[head] = True
+                    self.second[min(ord(key[1]), K.LIMIT)] = True
+            for c in range(1, 256):
+                if base ^ c < len(chars.units) and chars.units[base ^ c] & 0x800000FF == c and base ^ c != 0:
+                    stack.append((prefix + bytes([c]), base ^ c))
+
+    def matches(self, data: np.ndarray, at: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Length of the longest rule from each place, before its stop, and where its replacement begins; 0 for none."""
+        u = self.units
+        step = lambda unit: (unit >> np.uint32(10)) << ((unit & np.uint32(512)) >> np.uint32(6))
+        best, value = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        node = np.full(len(at), step(u[:1])[0], np.uint32)
+        live, i = np.arange(len(at)), 0
+        while len(live):
+            live = live[at[live] + i < stop[live]]
+            c = data[at[live] + i].astype(np.uint32)
+            n = node[live] ^ c
+            ok = n < len(u)
+            unit = u[np.where(ok, n, 0)]
+            ok &= (unit & np.uint32(0x800000FF)) == c
+            live, n, unit = live[ok], n[ok], unit[ok]
+            n ^= step(unit)
+            node[live] = n
+            leaf = (unit >> np.uint32(8) & np.uint32(1)) == 1
+            best[live[leaf]] = i + 1
+            value[live[leaf]] = u[n[leaf]] & np.uint32(0x7FFFFFFF)
+            i += 1
+        return best, value
+
+    def normalise(self, texts: list[str]) -> tuple[list[str], list[np.ndarray | None]]:
+        """Each text after the map, and its alignment as ``normalise`` gives it, None where nothing changed."""
+        c = K.Codes(texts)
+        code = c.clipped()
+        if not len(code) or not len(self.units):
+            return texts, [None] * len(texts)
+        maybe = self.alone[code]
+        maybe[:-1] |= self.begins[code[:-1]] & self.second[code[1:]]
+        places = np.flatnonzero(maybe)
+        if not len(places):
+            return texts, [None] * len(texts)
+        data = np.frombuffer(c.text.encode(), np.uint8)
+        size = 1 + (c.code >= 0x80).astype(np.int64) + (c.code >= 0x800) + (c.code >= 0x10000)
+        begin = np.append(0, np.cumsum(size))
+        text_at, text_end = begin[c.first], begin[c.first + c.length]
+        of = np.searchsorted(c.first, places, "right") - 1
+        at = begin[places]
+        n, value = self.matches(data, at, text_end[of])
+        hit = n > 0
+        at, n, value = at[hit], n[hit], value[hit]
+        if (at[1:] < at[:-1] + n[:-1]).any():  # a rule that begins within another's match doesn't count
+            keep, free = np.ones(len(at), bool), 0
+            for k, (a, m) in enumerate(zip(at.tolist(), n.tolist())):
+                keep[k] = a >= free
+                free = a + m if a >= free else free
+            at, n, value = at[keep], n[keep], value[keep]
+        length = self.zero[np.searchsorted(self.zero, value)] - value
+        out = np.ones(len(data), np.int64)
+        inner = np.repeat(at - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        out[inner] = 0
+        out[at] = length
+        align = np.repeat(np.arange(len(data)), out)
+        made = data[align].copy()
+        to = np.cumsum(out) - out
+        within = np.arange(int(length.sum())) - np.repeat(np.cumsum(length) - length, length)
+        made[np.repeat(to[at], length) + within] = self.pool[np.repeat(value, length) + within]
+        to = np.append(to, len(align))
+        changed = np.zeros(len(texts), bool)
+        changed[np.searchsorted(text_at, at, "right") - 1] = True
+        plain, aligned = list(texts), [None] * len(texts)
+        for d in np.flatnonzero(changed).tolist():
+            a, b = to[text_at[d]], to[text_end[d]]
+            plain[d] = made[a:b].tobytes().decode()
+            aligned[d] = np.append(align[a:b], text_end[d]) - text_at[d]
+        return plain, aligned
 
 
 def normalise(text: str, chars: CharsMap, remove_extra: bool = False) -> tuple[str, np.ndarray]:
@@ -153,7 +283,7 @@ class Encoded:
 
 
 class Encoder:
-    def __init__(self, model: str = MODEL, proto: bytes | None = None):
+    def __init__(self, model: str = MODEL, proto: bytes | None = None, charsmap: bytes | None = None):
         import sentencepiece
         from sentencepiece import sentencepiece_model_pb2 as pb
 
@@ -163,7 +293,8 @@ class Encoder:
                 proto = f.read()
         m.ParseFromString(proto)
         spec = m.normalizer_spec
-        self.chars = CharsMap(spec.precompiled_charsmap)
+        self.chars = CharsMap(spec.precompiled_charsmap or charsmap or b"")
+        self.walker = Walker(self.chars) if self.chars.units else None
         self.dummy, self.remove_extra, self.escape = spec.add_dummy_prefix, spec.remove_extra_whitespaces, spec.escape_whitespaces
         spec.precompiled_charsmap = b""
         spec.name = "identity"
@@ -222,11 +353,10 @@ class Encoder:
     def encode(self, texts: list[str]) -> Encoded:
         if len(self.index) > CACHE_UNITS:
             self._reset()
-        plain, align = [], []
-        for t in texts:
-            n, a = normalise(t, self.chars, self.remove_extra) if self.chars.units or self.remove_extra else (t, None)
-            plain.append(n)
-            align.append(a)
+        if self.remove_extra:
+            plain, align = zip(*(normalise(t, self.chars, True) for t in texts)) if texts else ([], [])
+        else:
+            plain, align = self.walker.normalise(texts) if self.walker else (texts, [None] * len(texts))
         c = K.Codes(plain)
         code = c.code
         nbytes = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
@@ -292,8 +422,8 @@ class Encoder:
         end = end - np.repeat(before, np.diff(first))
         start = np.append(0, end[:-1]) if total else end
         start[first[:-1][np.diff(first) > 0]] = 0
-        if self.chars.units or self.remove_extra:
-            for d, a in enumerate(align):
+        for d, a in enumerate(align):
+            if a is not None:
                 lo, hi = first[d], first[d + 1]
                 s, e = start[lo:hi].copy(), end[lo:hi].copy()
                 start[lo:hi] = a[s]
@@ -344,21 +474,24 @@ class Encoder:
         return text[1:] if self.dummy and text.startswith(" ") else text
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple, Encoder] = {}
 
 
-def encoder(model: str = MODEL) -> Encoder:
-    """The process's encoder of a model file."""
-    if model not in _encoders:
-        _encoders[model] = Encoder(model)
-    return _encoders[model]
+def encoder(model: str = MODEL, charsmap: bytes | None = None) -> Encoder:
+    """The process's encoder of a model file and map."""
+    key = model, charsmap
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = Encoder(model, charsmap=charsmap)
+    return _encoders[key]
 
 
-def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, ids, starts, ends, roundtrip for each row of docs (doc_id, text)."""
+def encode(docs: DataFrame, model: str = MODEL, normal: bool = True) -> DataFrame:
+    """doc_id, ids, starts, ends, roundtrip for each row of docs (doc_id, text); normal: a model without a map gets that of compatibility()."""
+    shared = docs.sparkSession.sparkContext.broadcast(compatibility() if normal else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(model)
+        enc = encoder(model, shared.value)
         for batch in batches:
             col = batch.column("text")
             texts = col.to_pylist()
@@ -373,7 +506,7 @@ def encode(docs: DataFrame, model: str = MODEL) -> DataFrame:
 
 
 def decode(encoded: DataFrame, model: str = MODEL) -> DataFrame:
-    """doc_id, text of each row of encoded (doc_id, ids); null ids give null."""
+    """doc_id, text of each row of encoded (doc_id, ids): the normalised text; null ids give null."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(model)

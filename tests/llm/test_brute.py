@@ -361,6 +361,53 @@ def test_character_map_longest_prefix_and_alignment():
     assert got == want and align.tolist() == [*source, len(text.encode())]
 
 
+def test_compatibility_map_is_that_of_unicode():
+    import unicodedata
+
+    walker = spiece.Walker(spiece.CharsMap(spiece.compatibility()))
+    texts = ["plain", "", "ﬁn de l’été\u00a0!", "e\u0301te\u0301 ﷺ ㎏ ⑳ ｱｲ 𝔘𝔫𝔦", "\u1e69 s\u0323\u0307 …", "a\u200bb\ufeff", "tab\tand\nline", "½ ™ Å"]
+    got, align = walker.normalise(texts)
+    for t, g, a in zip(texts, got, align):
+        assert g == unicodedata.normalize("NFKC", t.replace("\u200b", "").replace("\ufeff", "")), t
+        assert (a is None) == (g == t) and (a is None or (len(a) == len(g.encode()) + 1 and a[-1] == len(t.encode()) and (np.diff(a) >= 0).all()))
+
+
+@pytest.mark.parametrize("rules", [None, {"ﬁ": "fi", "A": "a", "AB": "x", "ABC": "yz", "é": "e", "…": "...", "\u200b": "", "n\u0303": "ñ"}])
+def test_spans_through_the_map(rules):
+    """Against an aligner that goes from character to character and from piece to piece."""
+    blob = spiece.compatibility() if rules is None else spiece.compile_charsmap(rules)
+    chars = spiece.CharsMap(blob)
+    enc = spiece.Encoder(charsmap=blob)
+    rng = np.random.default_rng(31)
+    bag = ["A", "AB", "ABC", "é", "ﬁ", "…", " ", "  ", "n\u0303", "\u200b", "mañana", "the ", "cat", "日本", "\n", "e\u0301", "½", "x"]
+    texts = ["", "…", "\u200b", "ABABC", "ﬁﬁ ﬁ"] + ["".join(rng.choice(bag, n)) for n in rng.integers(1, 25, 120)]
+    e = enc.encode(texts)
+    for k, t in enumerate(texts):
+        data, at, plain, begin = t.encode(), 0, b"", []
+        while at < len(data):  # the longest rule, character by character
+            n, new = chars.longest(data, at)
+            n, literal = (n, False) if n else (len(data[at:].decode()[0].encode()), True)
+            new = data[at : at + n] if literal else new
+            begin += range(at, at + n) if literal else [at] * len(new)
+            plain += new
+            at += n
+        lo, hi = e.first[k], e.first[k + 1]
+        ids = e.ids[lo:hi].tolist()
+        assert enc.decode(ids) == plain.decode() and e.roundtrip[k]
+        assert ids == enc.sp.encode("▁" + plain.decode().replace(" ", "▁")) if plain else not ids
+        done, spans = 0, []
+        for i in ids:
+            width = len(enc.surface[i].replace("▁".encode(), b" "))
+            width -= 1 if not spans and enc.surface[i].startswith("▁".encode()) else 0  # the dummy prefix
+            s, z = done, done + width
+            done = z
+            if s == z:
+                spans.append((begin[s] if s < len(begin) else len(data),) * 2)
+            else:
+                spans.append((begin[s], min((b for b in begin[z:] if b > begin[z - 1]), default=len(data))))
+        assert list(zip(e.starts[lo:hi].tolist(), e.ends[lo:hi].tolist())) == spans, t
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------
 
 
@@ -664,5 +711,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir, table, texts):
     got = {r["doc_id"]: r for r in corpus_pipeline.run(spark, sf_dir).collect()}
     missing, extra = kept - set(got), set(got) - kept
     assert not missing and len(extra) <= 0.02 * len(kept)  # a near-duplicate may escape the bands
+    import unicodedata
+
     enc = spiece.Encoder()
-    assert all(enc.decode(list(r["ids"])) == texts[d] and r["roundtrip"] for d, r in got.items())
+    assert all(enc.decode(list(r["ids"])) == unicodedata.normalize("NFKC", texts[d]) and r["roundtrip"] for d, r in got.items())
