@@ -40,7 +40,7 @@ def test_entry(spark):
 
 def test_empty_tables(spark, tmp_path, sf_dir):
     """All queries of the catalogue give an empty or all-zero result on empty tables."""
-    for t in ("documents", "pages", "labels"):
+    for t in ("documents", "pages", "labels", "orders"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).coalesce(1).write.parquet(f"{tmp_path}/{t}.parquet")
     for name, query in catalog.QUERIES.items():
         if name != "stream_audit":
