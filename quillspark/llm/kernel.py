@@ -10,12 +10,13 @@ in lower case (the simple one-to-one mapping).  Null texts count as empty.
 
 from __future__ import annotations
 
-import os
 import re
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 
+from quillspark.sources.tables import shared_folder
+
 LIMIT = 0x30000  # code points from here on are never word characters
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
@@ -170,15 +171,10 @@ def in_sorted(values: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 
 def checkpoint_dir(spark) -> str:
-    """The shared folder for checkpoints; one of our own only where the cluster names none (tests)."""
+    """The folder for checkpoints that all executors share; a cluster that names none is refused."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None:
-            import tempfile
-
-            shared = os.path.join(tempfile.gettempdir(), "quillspark-checkpoints")
-        sc.setCheckpointDir(shared)
+        sc.setCheckpointDir(shared_folder(spark))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
