@@ -6,6 +6,7 @@ import re
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from quillspark.llm import cotrain, decontam, langid, licenses, maskedlm, mtree, neardup, queries, spiece, tokenstore, toxicity
@@ -700,7 +701,7 @@ def test_pipeline_stage_by_stage(spark, sf_dir, table, texts):
     labels = {}
     for r in table("labels").collect():
         labels[r["doc_id"]] = max(r["toxic"], labels.get(r["doc_id"], 0))
-    rest = table("documents").filter(table("documents").doc_id.isin(sorted(kept)))
+    rest = table("documents").filter(F.col("doc_id").isin(sorted(kept)))
     lex = toxicity.fit(rest, table("labels"))
     score = lambda t: toxicity.score_texts([t], lex, toxicity.tables())[0][0]
     kept = {d for d in kept if score(texts[d]) < toxicity.THRESHOLD}
