@@ -9,6 +9,7 @@ Patterns that use \\w, \\s or \\b carry (?U), so that they mean Unicode classes.
 
 from __future__ import annotations
 
+import functools
 import html
 import re
 import unicodedata
@@ -87,6 +88,21 @@ def unescaped(t: Text) -> Column:
     return unescape(col(t))
 
 
+#: characters beyond the usual ones, among which combining marks may be
+ODD = re.compile("[\u0300-\u1fff\u20d0-\U0010ffff]")
+
+
+@functools.cache
+def with_marks(pattern: str) -> str:
+    """A pattern for Python in which combining marks belong to words, as they do in (?U) patterns; only texts with ODD characters need it."""
+    marks = [c for c in range(0x300, 0x110000) if unicodedata.category(chr(c))[0] == "M"]
+    starts = [c for k, c in enumerate(marks) if not k or marks[k - 1] != c - 1]
+    ends = [c for k, c in enumerate(marks) if k + 1 == len(marks) or marks[k + 1] != c + 1]
+    word = r"[\w" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends)) + "]"
+    edge = f"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))"
+    return pattern.replace(r"\w", word).replace(r"\b", edge)
+
+
 # --- decoding ---------------------------------------------------------------------
 
 
