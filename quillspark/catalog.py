@@ -187,7 +187,7 @@ def anomaly_counts(documents):
 
 @query(S.doubled_words())
 def doubled_words(documents):
-    return anomalies.count_by_book(_damaged(documents), BOOK).filter("type = 'mot_double'").select(*BOOK, "n")
+    return anomalies.count_by_book(_damaged(documents), BOOK, types=["mot_double"]).select(*BOOK, "n")
 
 
 def _anomalies(documents: DataFrame) -> DataFrame:

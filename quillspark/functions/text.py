@@ -13,8 +13,10 @@ import functools
 import html
 import re
 import unicodedata
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
@@ -103,6 +105,12 @@ def with_marks(pattern: str) -> str:
     return pattern.replace(r"\w", word).replace(r"\b", edge)
 
 
+def rows(batch: pa.RecordBatch, step: int = 256) -> Iterator[tuple]:
+    """The rows of a batch, of which Python holds a few at a time."""
+    for i in range(0, batch.num_rows, step):
+        yield from zip(*(c.to_pylist() for c in batch.slice(i, step).columns))
+
+
 # --- decoding ---------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.damage import damaged
-from quillspark.operators import rules
+from quillspark.operators import anomalies, rules
 
 HARD = [
     "", "l'an d''un 'x' a'b'c", "oeuf boeufs Boeuf choeur CHOEUR ChOeur manoeuvrer Manoeuvré oeoeuf xoeuf oeufx oeuvre_ Oeil OEIL OEil oe", "a... b.... c.. d...e......", "...", "Etat État Etats Etatx Ete Etes Etre Etrex Epee Evenements xEvenement",
@@ -31,3 +31,48 @@ def test_every_step_begins_with_what_is_searched_for():
     steps = [p for _, steps in rules.quick_steps("nbsp", "wordlist") for p, _ in steps]
     assert steps and not [p for p in steps if re.match(r"\\b|\(\?<", p)]
     assert T.ODD.search("e\u0301") and not T.ODD.search("« … ’ œ — “é”\u202f")
+
+
+ODD_TEXTS = [
+    "la, le , les, un, une, des , x. le, la", "ab.cd.ef ab.com ab.comx de.fr. cf. la M. la … la .. la", "M Du M Éa xM Du M du", "abc- def- ghi xbc- de_ Abc- de é- ab ab- éa", "le le le le oui oui la la. le lea ale le", "... .... ..... a ,\n b . c", ".,.. ,. «« »",
+    "éla, le x́ab- cd́ ab- cd́ le lé ́M Du ab.coḿ lé, a", "😀la, le ab- cd😀 le le", ", Il, Elle. la", "", "lame, a votre , b cette, c xcette, d",
+]
+
+
+def test_detectors_are_tried_where_their_patterns_match(sf_dir):
+    """Also in chains of more than four determiners, each of which takes the first letter of the next."""
+    import duckdb
+
+    from quillspark.functions.damage import damaged_sql
+
+    texts = [*ODD_TEXTS, *(t * 2 for t in ODD_TEXTS), *(r[0] for r in duckdb.sql(f"select {damaged_sql()} from '{sf_dir}/documents.parquet'").fetchall())]
+    for t in texts:
+        odd = T.ODD.search(t) is not None
+        for kind, pattern in anomalies.PATTERNS.items():
+            compiled = lambda p: anomalies._compiled(p, odd)
+            assert [m.span() for m in anomalies._matches(kind, t, compiled)] == [m.span() for m in compiled(pattern).finditer(t)], (kind, t)
+    assert sum(1 for _ in anomalies._places("det_virgule", "la, " * 9 + "x")) == 5
+
+
+def test_book_counts_are_the_expressions_and_only_the_types_asked_for(spark):
+    docs = spark.createDataFrame([(i % 3, t) for i, t in enumerate([*ODD_TEXTS, None])] + [(9, None)], "b int, text string")
+    native = docs.groupBy("b").agg(*[F.sum(c).alias(k) for k, c in anomalies.counts("text").items()]).unpivot(["b"], [*anomalies.PATTERNS, "guillemet_desequilibre"], "type", "n")
+    got = anomalies.count_by_book(docs, ["b"])
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, native.collect()), key=repr)
+    one = anomalies.count_by_book(docs, ["b"], types=["mot_double"])
+    assert {r["type"] for r in one.collect()} == {"mot_double"} and "cesure" not in one._jdf.queryExecution().toString()
+
+
+def test_first_records_and_totals_are_what_the_cap_leaves(spark):
+    rows = [(f"b{i % 2}", i if i else None, f"{t} motrare{chr(97 + i % 26)}{chr(97 + i // 26)} fin") for i, t in enumerate(ODD_TEXTS * 4)]
+    docs, words = spark.createDataFrame(rows, "b string, d int, text string").repartition(3), spark.createDataFrame([("fin",), ("abcdef",)], "word string")
+    unknown = anomalies.unknown_words(docs, ["b"], words, first="d")
+    found = anomalies.records(docs, ["b", "d"], unknown=unknown, lexicon=words, book=["b"])
+    for cap in (1, 3, 400):
+        want = anomalies.capped(found, ["b"], ["d"], cap)
+        for shared in (200_000, 0):
+            got = anomalies.first_records(docs, ["b"], "d", unknown=unknown, lexicon=words, per_type=cap, shared_words=shared)
+            assert sorted(map(repr, got.select(*want.columns).collect())) == sorted(map(repr, want.collect())), cap
+        kept = want.groupBy("b", "type").agg(F.count("*").alias("kept"))
+        want = anomalies.statistics(found, ["b"]).join(kept, ["b", "type"]).select("b", "type", "n", "kept")
+        assert sorted(map(tuple, anomalies.totals(docs, ["b"], unknown=unknown, per_type=cap).select("b", "type", "n", "kept").collect())) == sorted(map(tuple, want.collect()))
