@@ -211,10 +211,8 @@ select source, type, n, least(n, {anomalies.PER_TYPE}) as kept from s where n >
 )
 def anomaly_statistics(documents):
     """All records of each type and book, and how many the cap leaves."""
-    found = _anomalies(documents)
-    every = anomalies.statistics(found, ["source"])
-    kept = anomalies.capped(found, ["source"], ["doc_id"]).groupBy("source", "type").agg(F.count("*").alias("kept"))
-    return every.join(kept, ["source", "type"])
+    unknown = anomalies.unknown_words(_damaged(documents), ["source"], corpus.lexicon(documents, ["source"]))
+    return anomalies.totals(_damaged(documents), ["source"], unknown=unknown).select("source", "type", "n", "kept")
 
 
 # --- rules ------------------------------------------------------------------------------------------------------
