@@ -190,19 +190,17 @@ def doubled_words(documents):
     return anomalies.count_by_book(_damaged(documents), BOOK, types=["mot_double"]).select(*BOOK, "n")
 
 
-def _anomalies(documents: DataFrame) -> DataFrame:
-    docs = _damaged(documents)
-    words = corpus.lexicon(documents, ["source"])
-    unknown = anomalies.unknown_words(docs, ["source"], words)
-    return anomalies.records(docs, ["source", "doc_id"], "text", unknown, words, ["source"])
+def _unknown(documents: DataFrame, words: DataFrame, first: str | None = None) -> DataFrame:
+    return anomalies.unknown_words(_damaged(documents), ["source"], words, first=first)
 
 
 @query(S.anomaly_rows(_UNKNOWN, _LEXICON))
 def anomaly_records(documents):
     """The records, with context, of the detectors whose places SQL can find; the cap counts those of each type."""
-    found = anomalies.capped(_anomalies(documents), ["source"], ["doc_id"])
     kinds = ["mot_inconnu", "cesure_residuelle", "abrev_m", "guillemet_desequilibre", "quatre_points"]
-    return found.filter(F.col("type").isin(*kinds)).select("source", "doc_id", "type", "pos", "avant", "extrait", "apres", "suggestion")
+    words = corpus.lexicon(documents, ["source"])
+    found = anomalies.first_records(_damaged(documents), ["source"], "doc_id", unknown=_unknown(documents, words, "doc_id"), lexicon=words, types=kinds)
+    return found.select("source", "doc_id", "type", "pos", "avant", "extrait", "apres", "suggestion")
 
 
 @query(
@@ -211,7 +209,7 @@ select source, type, n, least(n, {anomalies.PER_TYPE}) as kept from s where n >
 )
 def anomaly_statistics(documents):
     """All records of each type and book, and how many the cap leaves."""
-    unknown = anomalies.unknown_words(_damaged(documents), ["source"], corpus.lexicon(documents, ["source"]))
+    unknown = _unknown(documents, corpus.lexicon(documents, ["source"]))
     return anomalies.totals(_damaged(documents), ["source"], unknown=unknown).select("source", "type", "n", "kept")
 
 
