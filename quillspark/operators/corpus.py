@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -22,7 +23,8 @@ FRONT_MATTER = "cover|titlepage|copyright|nav|toc"
 # --- lexicon -------------------------------------------------------------------------------------
 
 
-FLUSH = 500_000  # distinct words that a task holds before it passes them on
+FLUSH = 200_000  # distinct words that a task holds before it passes them on
+PASSED = 20_000  # of them made into rows at a time
 
 
 def lexicon(docs: DataFrame, book: list[str], text: str = "text", min_books: int = MIN_BOOKS) -> DataFrame:
@@ -37,21 +39,26 @@ def lexicon(docs: DataFrame, book: list[str], text: str = "text", min_books: int
         kind: list[pa.DataType] = []
         cut = re.compile(LEXICON_WORD).findall
 
-        def flush() -> pa.RecordBatch:
-            rows = [(*k, w) for k, ws in found.items() for w in ws]
+        def flush() -> Iterator[pa.RecordBatch]:
+            rows = ((*k, w) for k, ws in found.items() for w in ws)
+            while part := list(itertools.islice(rows, PASSED)):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*part), [*kind, pa.string()])], [*book, "word"])
             found.clear()
-            types = [*kind, pa.string()]
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)] if rows else [pa.array([], t) for t in types], [*book, "word"])
 
         for b in batches:
             kind = [b.column(i).type for i in range(len(book))]
-            for *k, t in zip(*(c.to_pylist() for c in b.columns)):
+            held = sum(map(len, found.values()))
+            for *k, t in T.rows(b):
                 if t:
-                    found.setdefault(tuple(k), set()).update(cut(t.lower().replace("’", "'")))
-            if sum(map(len, found.values())) > FLUSH:
-                yield flush()
+                    words = found.setdefault(tuple(k), set())
+                    held -= len(words)
+                    words.update(cut(t.lower().replace("’", "'")))
+                    held += len(words)
+                    if held > FLUSH:
+                        yield from flush()
+                        held = 0
         if found:
-            yield flush()
+            yield from flush()
 
     forms = docs.select(*book, F.col(text).alias("__t")).mapInArrow(run, schema).distinct()
     return forms.groupBy("word").agg(F.count("*").alias("books")).filter(F.col("books") >= min_books)
@@ -73,15 +80,23 @@ def pending(inventory: DataFrame, done: DataFrame, key: str = "id") -> DataFrame
 def candidates(docs: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, idx, avant, apres for each isolated A before a small letter, numbered within the document.
 
-    The text is cut at the candidates; what lies before one is all parts before it."""
-    t = F.col(text)
-    cut = docs.select(*key, t.alias("__t"), F.split(t, A_CANDIDATE).alias("__p")).filter(F.size("__p") > 1)
-    at = cut.select(*key, "__t", F.posexplode(F.slice("__p", 1, F.size("__p") - 1)).alias("idx", "part"), "__p")
-    start = F.aggregate(F.slice("__p", 1, F.col("idx") + 1), F.lit(0), lambda a, p: a + F.length(p)) + F.col("idx") + 1
-    at = at.select(*key, "idx", "__t", start.alias("__at"))
-    before = F.substring(F.col("__t"), F.greatest(F.col("__at") - 60, F.lit(1)), F.least(F.col("__at") - 1, F.lit(60)))
-    after = F.substring(F.col("__t"), F.col("__at"), F.lit(70))
-    return at.select(*key, "idx", T.sub(before, rf"(?U)^[{T.SPACE}]+", "").alias("avant"), T.sub(after, rf"(?U)[{T.SPACE}]+$", "").alias("apres"))
+    One Arrow pass that searches for the letter; only what is shown of a text leaves it."""
+    kinds, names = dict(docs.dtypes), [*key, "idx", "avant", "apres"]
+    schema = ", ".join([*(f"`{k}` {kinds[k]}" for k in key), "idx int, avant string, apres string"])
+    pattern = A_CANDIDATE.replace("(?U)", "").replace(r"\bA", r"A(?<=\bA)")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain, odd = re.compile(pattern), re.compile(T.with_marks(pattern))
+        for b in batches:
+            types = [*(b.column(i).type for i in range(len(key))), pa.int32(), pa.string(), pa.string()]
+            for i in range(0, b.num_rows, 256):
+                rows = []
+                for *k, t in T.rows(b.slice(i, 256)):
+                    found = (odd if T.ODD.search(t) else plain).finditer(t) if t else ()
+                    rows += [(*k, n, t[max(0, m.start() - 60) : m.start()].lstrip(), t[m.start() : m.start() + 70].rstrip()) for n, m in enumerate(found)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows) if rows else [()] * len(types), types)], names)
+
+    return docs.select(*key, F.col(text).alias("__t")).mapInArrow(run, schema)
 
 
 def approved(candidates_: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.damage import damaged
-from quillspark.operators import anomalies, rules
+from quillspark.operators import anomalies, corpus, rules
 
 HARD = [
     "", "l'an d''un 'x' a'b'c", "oeuf boeufs Boeuf choeur CHOEUR ChOeur manoeuvrer Manoeuvré oeoeuf xoeuf oeufx oeuvre_ Oeil OEIL OEil oe", "a... b.... c.. d...e......", "...", "Etat État Etats Etatx Ete Etes Etre Etrex Epee Evenements xEvenement",
@@ -76,3 +76,15 @@ def test_first_records_and_totals_are_what_the_cap_leaves(spark):
         kept = want.groupBy("b", "type").agg(F.count("*").alias("kept"))
         want = anomalies.statistics(found, ["b"]).join(kept, ["b", "type"]).select("b", "type", "n", "kept")
         assert sorted(map(tuple, anomalies.totals(docs, ["b"], unknown=unknown, per_type=cap).select("b", "type", "n", "kept").collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_candidates_carry_no_text_beside_them(spark):
+    """Each candidate once carried its whole text and all its parts, so that many in a text cost their square."""
+    texts = ["A la A b" * 3, " \u2003A la \u00a0", "xA la Á la A\u0301 la \u0301A la _A la A  la A É", "", None, "A la " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = corpus.candidates(docs, ["id"])
+    want = [(0, 0, "", "A la A bA la A bA la A b"), (0, 1, "A la ", "A bA la A bA la A b"), (0, 2, "A la A bA la ", "A bA la A b"), (0, 3, "A la A bA la A bA la ", "A b"), (1, 0, "", "A la")]
+    assert sorted(map(tuple, found.filter("id < 5").collect())) == want
+    many = found.filter("id = 5").collect()
+    assert len(many) == 3000 and many[2999]["idx"] == 2999 and len(many[2999]["avant"]) == 60
+    assert "Generate" not in found._jdf.queryExecution().toString()
