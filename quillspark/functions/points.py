@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -92,7 +92,7 @@ def hashed(words: Sequence[str]) -> np.ndarray:
     return p.hashes(p.first, p.first + p.length)
 
 
-def chunks(texts: Sequence[str], limit: int = CHUNK) -> Iterator[list[str]]:
+def chunks(texts: Iterable[str], limit: int = CHUNK) -> Iterator[list[str]]:
     """Texts in runs of about `limit` characters; a longer one stands alone."""
     part: list[str] = []
     size = 0

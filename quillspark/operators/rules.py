@@ -7,6 +7,7 @@ import re
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -228,9 +229,12 @@ def _one_pass(style: str, a_grave: str):
     """The rules as an Arrow function: the text after them and the count of each; null stays null."""
     names, correct = ["fixed", *(r.name for r in text_rules(style, a_grave))], Corrector(style, a_grave)
 
-    @F.pandas_udf("fixed string, " + ", ".join(f"{n} long" for n in names[1:]))
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([(None,) * len(names) if t is None else correct(t) for t in texts], columns=names, dtype=object)
+    kinds = pa.struct([(n, pa.int64() if n != "fixed" else pa.string()) for n in names])
+
+    @F.arrow_udf("fixed string, " + ", ".join(f"{n} long" for n in names[1:]))
+    def run(texts: pa.Array) -> pa.Array:
+        done = [pa.array([dict(zip(names, correct(t) if t is not None else (None,) * len(names))) for t in texts.slice(i, 256).to_pylist()], kinds) for i in range(0, len(texts), 256)]
+        return pa.concat_arrays(done) if done else pa.array([], kinds)
 
     return run
 
