@@ -1,12 +1,13 @@
 """The fast forms of rules and detectors match where the plain ones do."""
 
 import re
+import tracemalloc
 
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
 from quillspark.functions.damage import damaged
-from quillspark.operators import anomalies, corpus, rules
+from quillspark.operators import anomalies, audit, corpus, rules
 
 HARD = [
     "", "l'an d''un 'x' a'b'c", "oeuf boeufs Boeuf choeur CHOEUR ChOeur manoeuvrer Manoeuvré oeoeuf xoeuf oeufx oeuvre_ Oeil OEIL OEil oe", "a... b.... c.. d...e......", "...", "Etat État Etats Etatx Ete Etes Etre Etrex Epee Evenements xEvenement",
@@ -88,3 +89,18 @@ def test_candidates_carry_no_text_beside_them(spark):
     many = found.filter("id = 5").collect()
     assert len(many) == 3000 and many[2999]["idx"] == 2999 and len(many[2999]["avant"]) == 60
     assert "Generate" not in found._jdf.queryExecution().toString()
+
+
+def test_python_holds_few_texts_of_a_batch_at_a_time():
+    import pyarrow as pa
+
+    batch = pa.record_batch([pa.array(["x" * 1000] * 10_000)], ["t"])
+    seen = T.rows(batch)
+    tracemalloc.start()
+    assert sum(len(t) for (t,) in seen) == 10_000_000
+    assert tracemalloc.get_traced_memory()[1] < 2_000_000
+    before = tracemalloc.get_traced_memory()[0]
+    tracemalloc.reset_peak()
+    assert audit.counted.func(batch.column(0)).field("chars").to_pylist() == [1000] * 10_000
+    assert tracemalloc.get_traced_memory()[1] - before < 70_000_000
+    tracemalloc.stop()
